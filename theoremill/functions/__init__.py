@@ -1 +1 @@
-
+"""Column functions: each takes columns (or names) and returns a column, so Catalyst plans them."""
