@@ -153,12 +153,13 @@ class Evidence:
         self.model, self.chains = Model(pairs), Chains()
         self.kept: dict[str, np.ndarray] = {}
 
-    def best(self, token: str, chain: int) -> tuple[float, str]:
-        """The gain of undoing ``chain`` as often as it pays, and the result."""
+    def best(self, token: str, chain: int, proven: bool = False) -> tuple[float, str]:
+        """The gain of undoing ``chain`` as often as it pays, and the result; a sign that stands alone is
+        evidence for nothing, but changes with the rest where the chain is ``proven``."""
         base, gain, result, at = self.model(token), 0.0, token, token
         utf8 = CHAINS[chain][1] == "utf_8"
-        if not utf8 and len(token) == 1:
-            return 0.0, token  # a sign that stands alone may be anything
+        if not utf8 and len(token) == 1 and not proven:
+            return 0.0, token
         worst = shape = 0.0
         for k in range(DEPTH):
             undone = self.chains.once(at, chain)
@@ -205,7 +206,7 @@ class Evidence:
             sentence, end = text[at : m.start() if m else len(text)], m.end() if m else len(text)
             tokens = [t for t in _TOKEN.findall(sentence) if not t.isascii()]
             if tokens and sum(self.best(t, chain)[0] for t in tokens) > MARGIN:
-                sentence = _TOKEN.sub(lambda t: t[0] if t[0].isascii() else self.best(t[0], chain)[1], sentence)
+                sentence = _TOKEN.sub(lambda t: t[0] if t[0].isascii() else self.best(t[0], chain, True)[1], sentence)
             parts += [sentence, text[m.start() : end] if m else ""]
             at = end
         return "".join(parts)
