@@ -43,7 +43,8 @@ def _copies(vectors: DataFrame) -> DataFrame:
     """(id, rep) of the ids whose vector another id has too; ``rep`` is the smallest of these."""
     keys = vectors.select("id", F.xxhash64("vector").alias("h"), F.xxhash64(F.lit(1), "vector").alias("g"))
     several = keys.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("rep")).filter("n > 1").drop("n")
-    return cut(lookup(keys.withColumn("hg", F.struct("h", "g")), several.select(F.struct("h", "g").alias("hg"), "rep"), "hg", total=0).select("id", "rep"))
+    both = F.concat_ws(":", "h", "g")
+    return cut(lookup(keys.select("id", both.alias("hg")), several.select(both.alias("hg"), "rep"), "hg").select("id", "rep"))
 
 
 def fit(vectors: DataFrame, n: int) -> Router:
