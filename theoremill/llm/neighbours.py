@@ -48,17 +48,30 @@ def _copies(vectors: DataFrame) -> DataFrame:
 
 
 def fit(vectors: DataFrame, n: int) -> Router:
-    """Router fitted on a sample whose size is bounded by SAMPLE_MOST."""
+    """Router fitted on a sample whose size is bounded by SAMPLE_MOST, in one task; only the router, at most
+    width x MAX_PARTS floats, comes to the driver."""
     parts = 1
     while parts < MAX_PARTS and parts * PART_ROWS < n:
         parts *= 2
+    if parts == 1:
+        return Router(np.zeros((0, 0), np.float32), np.zeros(1, np.float32))
     size = min(SAMPLE_MOST, max(SAMPLE_LEAST, SAMPLE_PER_PART * parts))
-    picked = vectors.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 1.1 * size / max(n, 1)))).select("vector").limit(size).toArrow()
-    x = unit(np.stack([v.values.to_numpy() for v in picked.column(0).combine_chunks()])) if picked.num_rows else np.zeros((0, 1), np.float32)
-    if parts == 1 or len(x) < 4 * parts:
+    share = int((1 << 30) * min(1.0, 1.1 * size / n))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat = [lists.flatten().to_numpy().reshape(len(lists), -1) for lists in (b.column(0) for b in batches) if len(lists)]
+        if sum(map(len, flat)) < 4 * parts:
+            return
+        x = unit(np.concatenate(flat))
+        graph = neighbour_graph(x, 10, block=256)
+        router = fit_router(x, graph, balanced_parts(x, graph, parts), parts)
+        yield pa.RecordBatch.from_arrays([pa.array([router.weights.tobytes()]), pa.array([router.bias.tobytes()])], ["weights", "bias"])
+
+    picked = vectors.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share).select("vector").limit(size)
+    row = picked.repartition(1).mapInArrow(run, "weights binary, bias binary").first()
+    if row is None:
         return Router(np.zeros((0, 0), np.float32), np.zeros(1, np.float32))
-    graph = neighbour_graph(x, 10, block=256)
-    return fit_router(x, graph, balanced_parts(x, graph, parts), parts)
+    return Router(np.frombuffer(row.weights, np.float32).reshape(-1, parts), np.frombuffer(row.bias, np.float32))
 
 
 def _best(sim: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
