@@ -59,7 +59,7 @@ def parse_types(rows: DataFrame, key: str = "id", expression: str = "type_expr")
 
 def node_table(trees: DataFrame, key: str = "id") -> DataFrame:
     """(tree, node, parent, tag, depth, children) from (key, nodes)."""
-    return trees.select(F.col(key).alias("tree"), F.inline("nodes")).select("tree", "node", "parent", "tag", "depth", "children")
+    return trees.select(F.col(key).alias("tree"), F.inline("nodes")).select("tree", "node", F.when(F.col("parent") >= 0, F.col("parent")).alias("parent"), "tag", "depth", "children")
 
 
 def wl_histograms(nodes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -69,7 +69,7 @@ def wl_histograms(nodes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     labels = nodes.repartition("tree").select("tree", "node", "parent", first.alias("label"))
     every = labels.select("tree", "label")
     for _ in range(rounds):
-        below = labels.filter("parent is not null and parent <> -1").groupBy("tree", F.col("parent").alias("node")).agg(F.array_join(F.array_sort(F.collect_list("label")), "").alias("below"))
+        below = labels.filter("parent is not null").groupBy("tree", F.col("parent").alias("node")).agg(F.array_join(F.array_sort(F.collect_list("label")), "").alias("below"))
         labels = labels.join(below, ["tree", "node"], "left").select("tree", "node", "parent", F.md5(F.concat("label", F.coalesce("below", F.lit("")))).alias("label"))
         every = every.unionByName(labels.select("tree", "label"))
     return every.groupBy("tree", "label").agg(F.count(F.lit(1)).alias("n"))
