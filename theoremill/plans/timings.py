@@ -36,6 +36,7 @@ def asof_lookup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _halves(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The whole table as two runs to compare: even events are the first, odd ones the second."""
     rows = _events(spark, sf).withColumnRenamed("event_id", "id")
     return rows.filter("id % 2 = 0"), rows.filter("id % 2 = 1")
 

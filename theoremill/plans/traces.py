@@ -63,7 +63,7 @@ def goal_heads(spark: SparkSession, sf: str) -> DataFrame:
 
 def error_report(spark: SparkSession, sf: str) -> DataFrame:
     rows = read_table(spark, sf, "events").filter("event_type = 'error'")
-    return traces.errors(rows.select(F.pmod("user_id", F.lit(100)).alias("file"), F.col("event_type").alias("kind")))
+    return traces.errors(rows.select(F.col("user_id").alias("file"), F.col("event_type").alias("kind")))
 
 
 def near_timeout(spark: SparkSession, sf: str) -> DataFrame:
@@ -177,7 +177,7 @@ ORACLES = {
     "difficulty_buckets": f"WITH {_S}, l AS (SELECT project, theorem, count(*) AS steps FROM s GROUP BY ALL) SELECT CASE WHEN steps <= 5 THEN 'short' WHEN steps <= 20 THEN 'medium' ELSE 'long' END AS difficulty, CASE WHEN regexp_matches(lower(theorem), 'arith|nat') THEN 'arithmetic' WHEN regexp_matches(lower(theorem), 'algebra|ring|field') THEN 'algebra' WHEN regexp_matches(lower(theorem), 'logic|prop') THEN 'logic' ELSE 'other' END AS domain, count(*) AS n FROM l GROUP BY ALL",
     "training_steps": f"WITH {_S} SELECT step, {_family('tactic')} AS family, lag({_family('tactic')}) OVER w AS previous, CAST(row_number() OVER w - 1 AS INTEGER) AS depth, CAST(len(string_split(coalesce(state, ''), chr(10) || chr(10))) AS INTEGER) AS goals FROM s WINDOW w AS (PARTITION BY project, theorem ORDER BY step)",
     "first_premises": "WITH f AS (SELECT l_orderkey, l_partkey, min(l_linenumber) AS first FROM lineitem WHERE l_partkey IS NOT NULL GROUP BY ALL) SELECT l_orderkey, l_partkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY first, l_partkey) AS INTEGER) AS place FROM f",
-    "error_report": "SELECT user_id % 100 AS file, event_type AS kind, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY ALL",
+    "error_report": "SELECT user_id AS file, event_type AS kind, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY ALL",
     "near_timeout": "SELECT event_id, value FROM events WHERE value >= 90.0",
     "slowest20": "SELECT event_id, value FROM events WHERE value IS NOT NULL ORDER BY value DESC, event_id LIMIT 20",
     "tactic_families": f"WITH {_COUNTS} SELECT * FROM c",

@@ -177,6 +177,13 @@ def row_index(df: DataFrame, order: Sequence[str], name: str = "index") -> DataF
     return placed.withColumn("_row", within).join(F.broadcast(shift), "_part").withColumn(name, F.col("_row") + F.col("_shift")).drop("_part", "_row", "_shift")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan in at least as many partitions as there are cores: one small file would keep a heavy pass
+    over its rows in one task. Larger tables stay as they are."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` (a file or a folder of files) under ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
