@@ -73,6 +73,13 @@ class Chains:
 
     def __init__(self) -> None:
         self.tables = {wrong: _bytes_of(wrong) for wrong in READ_AS}
+        # Where both encodings have single bytes, a chain is undone character by character.
+        self.maps: list[dict[str, str] | None] = []
+        for wrong, right in CHAINS:
+            single = wrong in self.tables and right in self.tables
+            self.maps.append({c: bytes([b]).decode(right, "replace") for c, b in self.tables[wrong].items()} if single else None)
+        self.translations = [m and str.maketrans(m) for m in self.maps]
+        self.known = [m and frozenset(m) for m in self.maps]
 
     def once(self, text: str, chain: int) -> str | None:
         """``text`` with the chain undone; U+FFFD where bytes are missing; None if it can't have been."""
@@ -80,42 +87,48 @@ class Chains:
         if "�" in text and right != "utf_8":
             parts = [self.once(part, chain) or part for part in text.split("�")]
             return None if (out := "�".join(parts)) == text else out
+        if self.known[chain] is not None:
+            if not self.known[chain].issuperset(text):
+                return None
+            out = text.translate(self.translations[chain])
+            return None if out == text else out
         table = self.tables.get(wrong)
         try:
-            if table is not None:
-                raw = b"".join(b"\xff" if c == "�" else bytes([table[c]]) for c in text)
-            else:
+            if table is None:
                 raw = text.replace("�", "?").encode(wrong)
+            elif "�" in text:
+                raw = bytes(255 if c == "�" else table[c] for c in text)
+            else:
+                raw = bytes(map(table.__getitem__, text))
         except (KeyError, UnicodeEncodeError):
             return None
         out = raw.decode(right, "replace")
         return None if out == text else out
 
 
-class Model:
-    """Log likelihood of a token under character bigrams that back off to single characters."""
+class Model(dict):
+    """Log likelihood of a token under character bigrams that back off to single characters; the mapping holds
+    the pairs asked for so far."""
 
     def __init__(self, pairs: dict[str, int]) -> None:
+        super().__init__()
         first, second = Counter(), Counter()
         for pair, n in pairs.items():
             first[pair[0]] += n
             second[pair[1]] += n
         self.pairs, self.first, self.second = pairs, first, second
         self.total = sum(second.values()) + 1.0
-        self.known: dict[str, float] = {}
-
-    def pair(self, ab: str) -> float:
-        p = self.known.get(ab)
-        if p is None:
-            back = (self.second[ab[1]] + 0.1) / (self.total + 1000)
-            p = math.log((self.pairs.get(ab, 0) + 4 * back) / (self.first[ab[0]] + 4))
-            if len(self.known) < 2 * PAIRS:
-                self.known[ab] = p
+
+    def __missing__(self, ab: str) -> float:
+        back = (self.second[ab[1]] + 0.1) / (self.total + 1000)
+        if len(self) >= 2 * PAIRS:
+            self.clear()
+        p = self[ab] = math.log((self.pairs.get(ab, 0) + 4 * back) / (self.first[ab[0]] + 4))
         return p
 
     def __call__(self, token: str) -> float:
         padded = f"\n{token}\n"
-        return sum(map(self.pair, map("".join, zip(padded, padded[1:])))) - BROKEN * token.count("�")
+        return sum([self[a + b] for a, b in zip(padded, padded[1:])]) - BROKEN * token.count("�")
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,10 +166,10 @@ class Evidence:
         self.model, self.chains = Model(pairs), Chains()
         self.kept: dict[str, np.ndarray] = {}
 
-    def best(self, token: str, chain: int, proven: bool = False) -> tuple[float, str]:
+    def best(self, token: str, chain: int, proven: bool = False, base: float | None = None) -> tuple[float, str]:
         """The gain of undoing ``chain`` as often as it pays, and the result; a sign that stands alone is
-        evidence for nothing, but changes with the rest where the chain is ``proven``."""
-        base, gain, result, at = self.model(token), 0.0, token, token
+        evidence for nothing, but changes with the rest where the chain is ``proven``. ``base``: the token's own likelihood."""
+        base, gain, result, at = self.model(token) if base is None else base, 0.0, token, token
         utf8 = CHAINS[chain][1] == "utf_8"
         if not utf8 and len(token) == 1 and not proven:
             return 0.0, token
@@ -180,7 +193,8 @@ class Evidence:
     def token(self, token: str) -> np.ndarray:
         gains = self.kept.get(token)
         if gains is None:
-            gains = np.array([self.best(token, c)[0] for c in range(LOST)] + [REPLACED * token.count("�")], np.float32)
+            base = self.model(token)
+            gains = np.array([self.best(token, c, base=base)[0] for c in range(LOST)] + [REPLACED * token.count("�")], np.float32)
             if len(self.kept) >= _KEPT:
                 self.kept.clear()
             self.kept[token] = gains

@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from theoremill.llm import encoding, frequency, garbled, leaks, neighbours, overlap, pieces, splits
-from theoremill.runtime import latest, read_table
+from theoremill.runtime import latest, read_table, spread
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
     """The documents table, of repeated doc_ids the latest row."""
     documents = read_table(spark, sf, "documents").select("doc_id", "text", "source", "doc_kind", "added_at")
-    return latest(documents, "doc_id", ["added_at"])
+    return latest(spread(documents), "doc_id", ["added_at"])
 
 
 def p1_symbols(spark: SparkSession, sf: str) -> DataFrame:
