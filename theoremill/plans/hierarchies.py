@@ -54,16 +54,16 @@ _WALK = f"""
 WITH RECURSIVE {_EDGES},
 nodes AS (SELECT node FROM edges UNION SELECT parent FROM edges),
 walk AS (
-  SELECT node AS start, node AS at, [node] AS path, false AS again FROM nodes
+  SELECT node AS start, node AS pos, [node] AS path, false AS again FROM nodes
   UNION ALL
   SELECT w.start, e.parent, list_append(w.path, e.parent), list_contains(w.path, e.parent)
-  FROM walk w JOIN edges e ON e.node = w.at WHERE NOT w.again
+  FROM walk w JOIN edges e ON e.node = w.pos WHERE NOT w.again
 ),
 ends AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY len(path) DESC) AS r FROM walk) WHERE r = 1),
 placed AS (
   SELECT start AS node_id,
-    CASE WHEN again THEN list_min(path[list_position(path, at):]) ELSE at END AS root_id,
-    CASE WHEN NOT again THEN len(path) - 1 WHEN list_position(path, at) = 1 THEN -1 ELSE -2 END AS depth,
+    CASE WHEN again THEN list_min(path[list_position(path, pos):]) ELSE pos END AS root_id,
+    CASE WHEN NOT again THEN len(path) - 1 WHEN list_position(path, pos) = 1 THEN -1 ELSE -2 END AS depth,
     path
   FROM ends
 )"""
