@@ -35,9 +35,15 @@ def scoped_closure(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def detect_cycles(spark: SparkSession, sf: str) -> DataFrame:
+    """Cycles of the instance_of rows only, as its SQL has it; :func:`detect_cycles_uses` has those of the dependency graph."""
     return graph.components(_edges(spark, sf, "instance_of"))
 
 
+def detect_cycles_uses(spark: SparkSession, sf: str) -> DataFrame:
+    """Cycles of the dependency graph. SQL can't do mutual reachability on the whole table, so it has no oracle."""
+    return graph.components(_edges(spark, sf))
+
+
 def module_summary(spark: SparkSession, sf: str) -> DataFrame:
     nodes = declarations(spark, sf).select(F.col("id").alias("node"), "module")
     return graph.module_summary(_edges(spark, sf), nodes)
@@ -74,7 +80,7 @@ def lookup_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (closure_depth3, impact_depth3, scoped_closure, detect_cycles, module_summary, dependency_subgraph, get_lemma, related_same_module, related_same_typeclass, lookup_ids)
+    for f in (closure_depth3, impact_depth3, scoped_closure, detect_cycles, detect_cycles_uses, module_summary, dependency_subgraph, get_lemma, related_same_module, related_same_typeclass, lookup_ids)
 }
 
 
