@@ -4,9 +4,11 @@ from collections import defaultdict
 
 import pyarrow.parquet as pq
 
+from theoremill.operators import trees
 from theoremill.plans.catalogue import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
+SEARCHED = "id long, name string, statement string, module string, type_expr string, symbols array<string>"
 
 
 def test_cycles_of_the_dependency_graph(spark):
@@ -28,3 +30,18 @@ def test_cycles_of_the_dependency_graph(spark):
     reach = {n: reached(n) for n in list(ahead)}
     expected = {(n, min(m for m in reach[n] if n in reach.get(m, ()))) for n in reach if n in reach[n]}
     assert expected and {tuple(r) for r in QUERIES["detect_cycles_uses"](spark, FOLDER).collect()} == expected
+
+
+def test_structure_search_weighs_every_candidates_symbols(spark, monkeypatch):
+    # Declaration 9 has the wanted structure and shares a symbol; those in front fill a list by Jaccard alone.
+    monkeypatch.setattr(trees, "SCREENED", 3)
+    rows = [(i, f"a{i}", "", "M", None, ["P", "Q"]) for i in range(1, 6)] + [(9, "x", "", "M", "forall n, P n -> Q n", ["P", "Q", "R"])]
+    table = spark.createDataFrame(rows, SEARCHED)
+    assert [tuple(r) for r in trees.search_by_structure(table, "forall n, P n -> Q n").collect()] == [(9, 0.95)]
+
+
+def test_type_search_fuses_the_whole_symbol_ranking(spark, monkeypatch):
+    monkeypatch.setattr(trees, "SCREENED", 2)
+    rows = [(i, f"a{i}", "", "M", None, ["P", "Q"]) for i in range(1, 7)]
+    table = spark.createDataFrame(rows, SEARCHED)
+    assert {r.id for r in trees.search_by_type(table, "forall n, P n -> Q n").collect()} == set(range(1, 7))

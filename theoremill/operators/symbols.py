@@ -101,12 +101,13 @@ def search_by_symbols(declarations: DataFrame, symbols: Sequence[str], limit: in
     return picked.join(full, "id", "left_semi").select("id", F.round("relevance", 6).alias("relevance")).orderBy(F.desc("relevance"), "id").limit(limit)
 
 
-def jaccard_ranking(declarations: DataFrame, symbols: Sequence[str], limit: int = 50) -> DataFrame:
-    """(id, score): Jaccard similarity of each declaration's symbols with ``symbols``."""
+def jaccard_ranking(declarations: DataFrame, symbols: Sequence[str], limit: int | None = 50) -> DataFrame:
+    """(id, score): Jaccard similarity of each declaration's symbols with ``symbols``, of those that share any."""
     wanted = F.array(*map(F.lit, dict.fromkeys(symbols))) if symbols else F.array().cast("array<string>")
     shared = F.size(F.array_intersect("symbols", wanted))
     union = F.size(F.array_union("symbols", wanted))
-    return declarations.filter(shared > 0).select("id", F.round(shared / union, 6).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
+    scored = declarations.filter(shared > 0).select("id", F.round(shared / union, 6).alias("score"))
+    return scored.orderBy(F.desc("score"), "id").limit(limit) if limit else scored
 
 
 def rank(rows: DataFrame, score: str = "score", key: str = "id", channel: str | None = None) -> DataFrame:

@@ -119,14 +119,15 @@ def search_by_structure(declarations: DataFrame, expression: str, limit: int = 5
     screened = cut(wl_screen(wl_histograms(node_table(trees)), sizes, wanted, len(query), ratio=2.0).withColumnRenamed("tree", "id"))
     fine = rerank(screened, trees, query)
     names = [p for t, p in zip(query.tags, query.payloads) if t in tree_functions.CONSTANTS]
-    jac = symbols.jaccard_ranking(declarations, names, SCREENED).withColumnRenamed("score", "jaccard") if names else declarations.select("id", F.lit(0.0).alias("jaccard")).limit(0)
+    jac = symbols.jaccard_ranking(declarations.join(screened.select("id"), "id", "left_semi"), names, None).withColumnRenamed("score", "jaccard") if names else declarations.select("id", F.lit(0.0).alias("jaccard")).limit(0)
     scored = screened.join(fine, "id").join(jac, "id", "left")
     score = clamp(structural_score(F.col("wl"), F.col("ted"), F.col("match"), F.coalesce("jaccard", F.lit(0.0))))
     return scored.select("id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
 
 
 def search_by_type(declarations: DataFrame, expression: str, limit: int = 50, weights: dict[str, float] | None = None) -> DataFrame:
-    """(id, score): fusion of the structural, symbol and text rankings for a type expression."""
+    """(id, score): fusion of the structural, symbol and text rankings for a type expression; the symbol ranking
+    is fused whole, the others are SCREENED long."""
     spark, query = declarations.sparkSession, parse(expression)
     channels = {"structure": search_by_structure(declarations, expression, SCREENED)}
     names = [p for t, p in zip(query.tags, query.payloads) if t in tree_functions.CONSTANTS] if query else []
@@ -139,6 +140,6 @@ def search_by_type(declarations: DataFrame, expression: str, limit: int = 50, we
     channels["text"] = search.bm25(declarations, "id", search.DECLARATION_FIELDS, words, False, SCREENED)
     ranked = None
     for name, hits in channels.items():
-        one = symbols.rank(hits.select("id", "score")).filter(F.col("rank") <= SCREENED).select("id", "rank", F.lit(name).alias("channel"))
+        one = symbols.rank(hits.select("id", "score")).select("id", "rank", F.lit(name).alias("channel"))
         ranked = one if ranked is None else ranked.unionByName(one)
     return fusion.fuse(cut(ranked), weights=weights, limit=limit)
