@@ -5,6 +5,7 @@ from collections import defaultdict
 import pyarrow.parquet as pq
 
 from theoremill.operators import trees
+from theoremill.plans import retrieval
 from theoremill.plans.catalogue import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -45,3 +46,19 @@ def test_type_search_fuses_the_whole_symbol_ranking(spark, monkeypatch):
     rows = [(i, f"a{i}", "", "M", None, ["P", "Q"]) for i in range(1, 7)]
     table = spark.createDataFrame(rows, SEARCHED)
     assert {r.id for r in trees.search_by_type(table, "forall n, P n -> Q n").collect()} == set(range(1, 7))
+
+
+def test_fusion_of_whole_lists(spark, monkeypatch):
+    lists = retrieval._channels(spark, FOLDER).collect()
+    newest = {r["id"] for r in pq.read_table(f"{FOLDER}/declarations.parquet", columns=["id"]).to_pylist()} - {None}
+    assert {r.id for r in lists if r.channel == "symbols"} == newest and len(newest) > 100
+    for name, weights in (("rrf_fuse_whole", {}), ("weighted_rrf_whole", {"size": 2.0, "symbols": 0.5, "name": 0.0})):
+        scores, first = defaultdict(float), {}
+        for r in lists:
+            if w := weights.get(r.channel, 1.0):
+                scores[r.id] += w / (60 + r["rank"])
+                first[r.id] = min(r["rank"], first.get(r.id, r["rank"]))
+        expected = sorted(((-round(s, 6), first[i], i) for i, s in scores.items()))[:50]
+        assert [(r.id, round(r.score, 6)) for r in QUERIES[name](spark, FOLDER).collect()] == [(i, -s) for s, _, i in expected]
+    monkeypatch.setattr(retrieval.fusion, "sweep", lambda ranked, truth, grid: ranked)
+    assert QUERIES["fusion_sweep"](spark, FOLDER).count() == len(lists)

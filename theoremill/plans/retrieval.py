@@ -11,6 +11,7 @@ from theoremill.runtime import latest, read_table
 
 NAME, QUESTION = "Lattice.compl", "How does induction rewrite the lattice?"
 SYMBOLS = ("Sundry.Init.hemnorol", "Pactum.Init.lanost")
+WEIGHTS = {"size": 2.0, "symbols": 0.5, "name": 0.0}
 
 
 def declarations(spark: SparkSession, sf: str) -> DataFrame:
@@ -85,18 +86,28 @@ def jaccard_rank(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _channels(spark: SparkSession, sf: str) -> DataFrame:
-    """Three ranked lists of declarations: by size, by number of symbols, by name length."""
+    """Three ranked lists of all declarations: by size, by number of symbols, by name length."""
     rows = declarations(spark, sf).select("id", F.col("node_count").alias("size"), F.size("symbols").alias("symbols"), F.length("name").alias("name"))
     long = rows.unpivot("id", ["size", "symbols", "name"], "channel", "score").filter("score IS NOT NULL")
-    return symbols.rank(long, channel="channel").filter("rank <= 100")
+    return symbols.rank(long, channel="channel")
 
 
 def rrf_fuse(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the first 100 of each list, as its SQL has it; :func:`rrf_fuse_whole` fuses the whole lists."""
+    return fusion.fuse(_channels(spark, sf).filter("rank <= 100"), limit=50)
+
+
+def rrf_fuse_whole(spark: SparkSession, sf: str) -> DataFrame:
     return fusion.fuse(_channels(spark, sf), limit=50)
 
 
 def weighted_rrf(spark: SparkSession, sf: str) -> DataFrame:
-    return fusion.fuse(_channels(spark, sf), weights={"size": 2.0, "symbols": 0.5, "name": 0.0}, limit=50)
+    """Of the first 100 of each list, as its SQL has it; :func:`weighted_rrf_whole` fuses the whole lists."""
+    return fusion.fuse(_channels(spark, sf).filter("rank <= 100"), weights=WEIGHTS, limit=50)
+
+
+def weighted_rrf_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return fusion.fuse(_channels(spark, sf), weights=WEIGHTS, limit=50)
 
 
 def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
@@ -207,7 +218,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         search_by_name, search_chunks_bm25, search_and_terms, search_or_terms, list_modules, provable_filter, symbol_frequency, inverted_index, suffix_index,
-        resolve_symbols, mepo_select, search_by_symbols, jaccard_rank, rrf_fuse, weighted_rrf, vector_topk, size_filter, type_expression_terms, symbol_weights,
+        resolve_symbols, mepo_select, search_by_symbols, jaccard_rank, rrf_fuse, rrf_fuse_whole, weighted_rrf, weighted_rrf_whole, vector_topk, size_filter, type_expression_terms, symbol_weights,
         hybrid_search, chapter_recall, fusion_sweep,
     )
 }
