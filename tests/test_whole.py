@@ -4,7 +4,7 @@ from collections import defaultdict
 
 import pyarrow.parquet as pq
 
-from theoremill.operators import trees
+from theoremill.operators import graph, trees
 from theoremill.plans import retrieval
 from theoremill.plans.catalogue import QUERIES
 
@@ -62,3 +62,12 @@ def test_fusion_of_whole_lists(spark, monkeypatch):
         assert [(r.id, round(r.score, 6)) for r in QUERIES[name](spark, FOLDER).collect()] == [(i, -s) for s, _, i in expected]
     monkeypatch.setattr(retrieval.fusion, "sweep", lambda ranked, truth, grid: ranked)
     assert QUERIES["fusion_sweep"](spark, FOLDER).count() == len(lists)
+
+
+def test_long_strict_cycle(spark, monkeypatch):
+    # Finding the component of a ring takes as many rounds again, so it is given.
+    n = 34
+    ring = spark.createDataFrame([(i, (i + 1) % n, "le" if i else "lt") for i in range(n)], "src int, dst int, kind string")
+    monkeypatch.setattr(graph, "components", lambda edges: spark.range(n).selectExpr("cast(id as int) AS node", "0 AS component"))
+    assert not graph.compatible(ring, ring.limit(0))
+    assert [tuple(r) for r in graph.strict_cycles(ring).collect()] == [(0, 1, n)]

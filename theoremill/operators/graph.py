@@ -121,32 +121,40 @@ def with_module(nodes: DataFrame, name: str = "node") -> DataFrame:
     return nodes.withColumn("module", module_of(name))
 
 
-def strict_cycles(constraints: DataFrame, depth: int = 32) -> DataFrame:
+def _on_cycles(constraints: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The constraints (src, dst, kind) inside strongly connected components, and the strict ones from a node to itself."""
+    both = constraints.select("src", "dst", "kind").unionByName(constraints.filter("kind = 'eq'").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "kind"))
+    edges = cut(both.distinct())
+    member = cut(components(edges.select("src", "dst")))
+    inside = cut(edges.filter("src <> dst").join(member.select(F.col("node").alias("src"), F.col("component").alias("a")), "src").join(member.select(F.col("node").alias("dst"), F.col("component").alias("b")), "dst").filter("a = b").select("src", "dst", "kind"))
+    return inside, edges.filter("src = dst and kind = 'lt'").select("src", "dst", "kind")
+
+
+def strict_cycles(constraints: DataFrame, depth: int | None = None) -> DataFrame:
     """(src, dst, length): strict constraints (kind 'lt') that lie on a cycle, with the length of the
     shortest one; any row means the constraints contradict each other. 'le' leads on, 'eq' both ways.
 
-    ``constraints``: src, dst, kind. Only edges inside strongly connected components are followed.
+    ``constraints``: src, dst, kind. Only edges inside strongly connected components are followed, until all
+    are; with a ``depth``, longer cycles give no row, which then doesn't mean that there are none.
     """
-    both = constraints.select("src", "dst", "kind").unionByName(constraints.filter("kind = 'eq'").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "kind"))
-    edges = cut(both.distinct())
-    member = components(edges.select("src", "dst"))
-    inside = cut(edges.join(member.select(F.col("node").alias("src"), F.col("component").alias("a")), "src").join(member.select(F.col("node").alias("dst"), F.col("component").alias("b")), "dst").filter("a = b").select("src", "dst", "kind"))
-    loops = edges.filter("src = dst and kind = 'lt'").select("src", "dst", F.lit(1).alias("length"))
+    inside, loops = _on_cycles(constraints)
     starts = inside.filter("kind = 'lt'").select("src", "dst").distinct()
     seen = cut(starts.select("src", "dst", F.col("dst").alias("at"), F.lit(1).alias("length")))
-    frontier = seen
-    for step in range(2, depth + 1):
+    frontier, step = seen, 1
+    while depth is None or step < depth:
+        step += 1
         ahead = frontier.join(inside.select(F.col("src").alias("at"), F.col("dst").alias("to")), "at").select("src", "dst", F.col("to").alias("at")).distinct()
         frontier = cut(ahead.join(seen.select("src", "dst", "at"), ["src", "dst", "at"], "left_anti").withColumn("length", F.lit(step)).select("src", "dst", "at", "length"))
         if frontier.isEmpty():
             break
         seen = cut(seen.unionByName(frontier))
-    return seen.filter("at = src").select("src", "dst", "length").unionByName(loops)
+    return seen.filter("at = src").select("src", "dst", "length").unionByName(loops.select("src", "dst", F.lit(1).alias("length")))
 
 
 def compatible(a: DataFrame, b: DataFrame) -> bool:
-    """Whether two sets of constraints hold together."""
-    return strict_cycles(a.unionByName(b)).isEmpty()
+    """Whether two sets of constraints hold together: a strict one inside a strongly connected component is on a cycle."""
+    inside, loops = _on_cycles(a.unionByName(b))
+    return inside.filter("kind = 'lt'").isEmpty() and loops.isEmpty()
 
 
 def scope(module: str | None = None, excluded: str | None = None, root_module: str | None = None) -> Column:
