@@ -1,5 +1,6 @@
 import pytest
 
+import theoremill.llm.garbled as module
 from theoremill.llm.garbled import CHAINS, Chains, garbled, repair
 
 SCHEMA = "doc_id long, text string, source string, doc_kind string, grp string, chain int"
@@ -62,3 +63,17 @@ def test_chains_undo():
             continue
         if lossless:
             assert chains.once(bad, CHAINS.index((wrong, right))) == text
+
+
+def test_chains_of_several_pairs(found, monkeypatch):
+    table, _ = found
+    counts = module.train(table.filter("doc_id < 1000"))  # few texts: each garbled one would count much
+    monkeypatch.setattr(module, "train", lambda *_: counts)
+    four = CLEAN[1]
+    for _ in range(4):
+        four = garble(four, "utf_8", "mac_roman")
+    mixed = garble(garble(CLEAN[0], "utf_8", "cp1252"), "utf_8", "cp437"), four
+    more = table.sparkSession.createDataFrame([(4000 + i, t, "s2", "note", "g", 1) for i, t in enumerate(mixed)], SCHEMA)
+    rows = {r.doc_id: r for r in repair(table.filter("doc_id < 1000").unionByName(more)).collect()}
+    assert [rows[4000 + i].repaired for i in range(2)] == [CLEAN[0], CLEAN[1]]
+    assert rows[4000].chain == "utf_8 as cp437, utf_8 as cp1252"

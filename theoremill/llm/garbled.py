@@ -47,6 +47,8 @@ DEPTH = 3
 #: Nats: what a sentence must gain to count, the loss per undecodable byte, the gain per U+FFFD, the gain
 #: per sequence of bytes that is well-formed UTF-8, the loss per letter that turns out to be a symbol.
 MARGIN, BROKEN, REPLACED, SEQUENCE, SYMBOL = 2.0, 4.0, 4.0, 4.0, 3.0
+#: Nats: what another chain must gain on a text that one has been undone on.
+NEXT = math.log(len(NAMES))
 #: Character pairs whose counts are kept; rarer ones than pairs / PAIRS count as unseen.
 PAIRS = 400_000
 #: Weight of the whole corpus, in records, in the shares of one source and field; rounds of estimation.
@@ -225,6 +227,23 @@ class Evidence:
             at = end
         return "".join(parts)
 
+    def undo(self, text: str, chain: int) -> tuple[list[int], str]:
+        """The chains undone, the outermost first, and the result: ``chain``, then the best one that what is
+        left still shows, until none is likelier than not where all are equally likely before."""
+        chains, at = [chain], self.repair(text, chain)
+        seen = {text, at}
+        while len(seen) > len(chains) and (e := self.text(at)) is not None:
+            following = int(e[:LOST].argmax())
+            if e[following] <= NEXT:
+                break
+            further = self.repair(at, following)
+            if further in seen:
+                break
+            chains.append(following)
+            seen.add(further)
+            at = further
+        return chains, at
+
 
 def _weigh(records: DataFrame, pairs: dict[str, int], key: str, text: str) -> DataFrame:
     """(id, grp, chain, e): the evidence of each record for each chain that has any."""
@@ -302,7 +321,8 @@ def garbled(records: DataFrame, key: str = "doc_id", text: str = "text", source:
 
 def repair(records: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", field: str = "doc_kind") -> DataFrame:
     """(key, chain, posterior, repaired) of the garbled records; ``repaired`` is null where nothing could be
-    undone (characters lost).
+    undone (characters lost). ``chain`` names all pairs undone, the outermost first, where a text was garbled
+    by several; one name stands for up to DEPTH times.
 
     The garbled keys are counted: few are broadcast to the one scan of the texts, many joined by shuffle.
     """
@@ -316,8 +336,9 @@ def repair(records: DataFrame, key: str = "doc_id", text: str = "text", source:
         numbers = {name: k for k, name in enumerate(NAMES)}
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            fixed = [evidence.repair(t, numbers[c]) for t, c in zip(texts, batch.column("chain").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("chain"), batch.column("posterior"), pa.array([f if f != t else None for f, t in zip(fixed, texts)], pa.string())], ["id", "chain", "posterior", "repaired"])
+            undone = [evidence.undo(t, numbers[c]) for t, c in zip(texts, batch.column("chain").to_pylist())]
+            chains, fixed = [", ".join(NAMES[k] for k in c) for c, _ in undone], [f for _, f in undone]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(chains, pa.string()), batch.column("posterior"), pa.array([f if f != t else None for f, t in zip(fixed, texts)], pa.string())], ["id", "chain", "posterior", "repaired"])
 
     kind = records.schema[key].dataType.simpleString()
     return (
