@@ -77,3 +77,33 @@ def test_chains_of_several_pairs(found, monkeypatch):
     rows = {r.doc_id: r for r in repair(table.filter("doc_id < 1000").unionByName(more)).collect()}
     assert [rows[4000 + i].repaired for i in range(2)] == [CLEAN[0], CLEAN[1]]
     assert rows[4000].chain == "utf_8 as cp437, utf_8 as cp1252"
+
+
+def test_entities_dropped_controls_and_question_marks(found):
+    table, _ = found
+    counts = module.train(table.filter("doc_id < 1000"))
+    entities = "Le th&Atilde;&copy;or&Atilde;&uml;me pr&Atilde;&copy;c&Atilde;&copy;dent g&Atilde;&copy;n&Atilde;&copy;ralise d&Atilde;&copy;j&Atilde;&nbsp;."
+    controls = "".join(c for c in garble(CLEAN[2], "utf_8", "latin_1") if not "\x80" <= c <= "\x9f")
+    rows = [(1, entities), (2, controls), (3, "Le th?or?me pr?c?dent."), (4, "A question? Yes."), (5, "d&eacute;j&agrave; &amp; <b>"), (6, "© the authors …")]
+    texts = table.sparkSession.createDataFrame([(i, t, "s0", "note", "g", 1) for i, t in rows], SCHEMA)
+    got = {r.doc_id: r.chain for r in garbled(table.filter("doc_id < 1000").unionByName(texts.withColumn("doc_id", texts.doc_id + 5000)), counts=counts).collect()}
+    assert got == {5001: "utf_8 as cp1252", 5002: "utf_8 as latin_1 without controls", 5003: "lost"}
+    evidence = module.Evidence(counts)
+    assert evidence.undo(entities, CHAINS.index(("cp1252", "utf_8")))[1] == "Le théorème précédent généralise déjà."
+    assert not evidence.repair(controls, module.DROPPED).isascii()
+
+
+def test_a_corpus_twice_as_large_gives_the_same(found):
+    table, bad = found
+    again = table.unionByName(table.withColumn("doc_id", table.doc_id + 10_000))
+    rows = {r.doc_id for r in garbled(again).collect()}
+    assert rows == {b[0] for b in bad} | {b[0] + 10_000 for b in bad}
+
+
+def test_only_more_pairs_than_are_kept_lose_the_rarest(found, monkeypatch):
+    table, _ = found
+    whole = module.train(table)
+    monkeypatch.setattr(module, "PAIRS", 100)
+    few = module.train(table)
+    assert 0 < len(few.pairs) <= 100 < len(whole.pairs) and few.first == whole.first and few.second == whole.second
+    assert min(few.pairs.values()) >= max(n for p, n in whole.pairs.items() if p not in few.pairs) / 1.1

@@ -2,18 +2,22 @@
 
 A chain says as what bytes of which right encoding were read. For each record and chain the evidence is
 how much likelier the text becomes when the chain is undone, by a character bigram model of the whole
-corpus, summed over the sentences that gain. Weak evidence is pooled: the share of each chain among the
-records of a source and field is estimated together with the posterior of each record's chain. Records are
-then repaired by the chain of the greatest posterior.
+corpus; a garbled record's sentences are a mixture of garbled and sound ones, so a sentence that speaks
+against a chain counts little and a weak sign in favour counts something. Weak evidence is pooled: the share
+of each chain among the records of a source and field is estimated together with the posterior of each
+record's chain. Records are then repaired by the chain of the greatest posterior, one after another while
+what is left still shows one. Characters written as HTML entities are read as the characters they name.
 """
 
 from __future__ import annotations
 
+import html
 import math
 import re
 import uuid
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,36 +36,41 @@ READ_AS = (*WESTERN, *CENTRAL, *CYRILLIC)
 
 #: (read as, written in) of every chain; utf_8 read as anything, and legacy encodings read as one another.
 CHAINS = (
-    *((wrong, "utf_8") for wrong in (*READ_AS, "gb18030", "big5", "shift_jis", "euc_kr")),
+    *((wrong, "utf_8") for wrong in (*READ_AS, "iso8859_15", "cp1254", "gb18030", "big5", "shift_jis", "euc_kr")),
     *((wrong, right) for right in CYRILLIC for wrong in (*CYRILLIC, "cp1252", "mac_roman", "cp437") if wrong != right),
     *((wrong, right) for right in CENTRAL for wrong in (*CENTRAL, "cp1252", "mac_roman", "cp1251") if wrong != right),
     *((wrong, "cp1252") for wrong in ("mac_roman", "cp850", "cp437", "cp1251", "cp1250", "iso8859_2", "koi8_r")),
     *(("cp1252", right) for right in ("mac_roman", "cp850", "cp437")),
     *((wrong, right) for right in EAST_ASIAN for wrong in ("cp1252", "mac_roman")),
+    ("latin_1 without controls", "utf_8"),
 )
-LOST = len(CHAINS)  # characters were replaced by U+FFFD
+#: The chain whose characters U+0080 to U+009F were dropped afterwards.
+DROPPED = len(CHAINS) - 1
+LOST = len(CHAINS)  # characters were replaced by U+FFFD or a question mark
 NAMES = (*(f"{right} as {wrong}" for wrong, right in CHAINS), "lost")
 
-#: A chain may have been applied so often.
-DEPTH = 3
-#: Nats: what a sentence must gain to count, the loss per undecodable byte, the gain per U+FFFD, the gain
-#: per sequence of bytes that is well-formed UTF-8, the loss per letter that turns out to be a symbol.
-MARGIN, BROKEN, REPLACED, SEQUENCE, SYMBOL = 2.0, 4.0, 4.0, 4.0, 3.0
+#: Nats: what a sentence must gain to be repaired, the loss per undecodable byte, the gain per U+FFFD, the
+#: gain per sequence of bytes that is well-formed UTF-8, the loss per letter of a word that turns out to be a
+#: symbol, and what a character of an unlikely token loses at least.
+MARGIN, BROKEN, REPLACED, SEQUENCE, SYMBOL, UNLIKELY = 2.0, 4.0, 8.0, 4.0, 3.0, 6.0
+#: Share of a garbled record's sentences that are garbled, before anything is seen of them.
+PASSAGE = math.exp(-MARGIN)
 #: Nats: what another chain must gain on a text that one has been undone on.
 NEXT = math.log(len(NAMES))
-#: Character pairs whose counts are kept; rarer ones than pairs / PAIRS count as unseen.
+#: Most distinct character pairs that are kept. Only a corpus with more loses its rarest ones.
 PAIRS = 400_000
 #: Weight of the whole corpus, in records, in the shares of one source and field; rounds of estimation.
 POOL, ROUNDS = 20.0, 6
 _KEPT = 200_000
 _TOKEN = re.compile(r"[^ \t\r\n]+")
+_ENTITY = re.compile(r"&#?\w+;")
 _SENTENCE = re.compile(r"(?<=[.!?。])[ \t]+|[\r\n]+")
 
 
 def _bytes_of(encoding: str) -> dict[str, int]:
     """Character to byte of a single-byte encoding; bytes it leaves undefined, and the controls that other
     readers put there, stand for themselves."""
-    table = {chr(b): b for b in range(128, 160)} if encoding == "cp1252" else {}
+    table = {chr(b): b for b in range(128, 160)} if encoding in ("cp1252", "cp1254") else {}
     for b in range(256):
         try:
             table[bytes([b]).decode(encoding)] = b
@@ -70,11 +79,64 @@ def _bytes_of(encoding: str) -> dict[str, int]:
     return table
 
 
+def suspect(token: str) -> bool:
+    """Whether a token can show anything: a character that isn't ASCII, an entity or a question mark."""
+    return not token.isascii() or "?" in token or ("&" in token and _ENTITY.search(token) is not None)
+
+
+@dataclass
+class Counts:
+    """Counts of character pairs, and of characters as first and second of any pair."""
+
+    pairs: dict[str, int]
+    first: dict[str, int]
+    second: dict[str, int]
+
+
+class Model(dict):
+    """Log likelihood of a token under character bigrams that back off to single characters; the mapping holds
+    the pairs asked for so far."""
+
+    def __init__(self, counts: Counts) -> None:
+        super().__init__()
+        self.counts = counts
+        self.total = sum(counts.second.values()) + 1.0
+        self.after: dict[str, list[str]] = defaultdict(list)
+        for pair in counts.pairs:
+            if pair[1] > "\x7f" and pair[1] != "�":
+                self.after[pair[0]].append(pair[1])
+        self.gaps: dict[str, float] = {}
+
+    def __missing__(self, ab: str) -> float:
+        counts = self.counts
+        back = (counts.second.get(ab[1], 0) + 0.1) / (self.total + 1000)
+        if len(self) >= 2 * PAIRS:
+            self.clear()
+        p = self[ab] = math.log((counts.pairs.get(ab, 0) + 4 * back) / (counts.first.get(ab[0], 0) + 4))
+        return p
+
+    def __call__(self, token: str) -> float:
+        padded = f"\n{token}\n"
+        return sum([self[a + b] for a, b in zip(padded, padded[1:])]) - BROKEN * token.count("�")
+
+    def gap(self, a: str, b: str) -> float:
+        """How much likelier some other character than ASCII is between ``a`` and ``b`` than a question mark."""
+        gain = self.gaps.get(a + b)
+        if gain is None:
+            other = sum(math.exp(self[a + x] + self[x + b]) for x in self.after.get(a, ()) if x + b in self.counts.pairs)
+            gain = math.log(other + 1e-30) - self[a + "?"] - self["?" + b]
+            if len(self.gaps) >= PAIRS:
+                self.gaps.clear()
+            self.gaps[a + b] = gain
+        return gain
+
+
 class Chains:
-    """Undoes chains."""
+    """Undoes chains. ``model`` chooses among the characters that dropped controls may have belonged to."""
 
-    def __init__(self) -> None:
-        self.tables = {wrong: _bytes_of(wrong) for wrong in READ_AS}
+    def __init__(self, model: Model | None = None) -> None:
+        self.model = model
+        self.tables = {wrong: _bytes_of(wrong) for wrong in (*READ_AS, "iso8859_15", "cp1254")}
         # Where both encodings have single bytes, a chain is undone character by character.
         self.maps: list[dict[str, str] | None] = []
         for wrong, right in CHAINS:
@@ -82,9 +144,55 @@ class Chains:
             self.maps.append({c: bytes([b]).decode(right, "replace") for c, b in self.tables[wrong].items()} if single else None)
         self.translations = [m and str.maketrans(m) for m in self.maps]
         self.known = [m and frozenset(m) for m in self.maps]
+        #: Letters that turn out to be symbols.
+        self.lowered = [frozenset(c for c, d in m.items() if c.isalpha() and not d.isalpha()) if m else frozenset() for m in self.maps]
+        self.remains = self._remains(model.counts.second) if model is not None else {}
+
+    @staticmethod
+    def _remains(characters: dict[str, int]) -> dict[str, list[str]]:
+        """What is left of each character of the corpus as UTF-8 read as Latin-1 without U+0080 to U+009F."""
+        out: dict[str, list[str]] = defaultdict(list)
+        for c in characters:
+            if c >= "\xa0" and c != "�" and not "\ud800" <= c <= "\udfff":
+                left = bytes(b for b in c.encode() if not 0x80 <= b <= 0x9F).decode("latin_1")
+                out[left].append(c)
+        return out
+
+    def raw(self, text: str, wrong: str) -> bytes | None:
+        """The bytes that were read as ``text``; None if no bytes can have been."""
+        table = self.tables.get(wrong)
+        try:
+            if table is None:
+                return text.replace("�", "?").encode(wrong)
+            if "�" in text:
+                return bytes(255 if c == "�" else table[c] for c in text)
+            return bytes(map(table.__getitem__, text))
+        except (KeyError, UnicodeEncodeError):
+            return None
+
+    def refill(self, text: str) -> str | None:
+        """``text`` with every remainder of a character completed by the likeliest one."""
+        out, at, before = [], 0, "\n"
+        while at < len(text):
+            c = text[at]
+            if c > "\x7f":
+                for length in (4, 3, 2, 1):
+                    if found := self.remains.get(text[at : at + length]) if at + length <= len(text) else None:
+                        following = text[at + length : at + length + 1] or "\n"
+                        m = self.model
+                        c = found[0] if len(found) == 1 else max(found, key=lambda x: m[before + x] + (m[x + following] if following < "\x80" else 0))
+                        at += length - 1
+                        break
+                else:
+                    return None
+            out.append(c)
+            before, at = c, at + 1
+        return None if (done := "".join(out)) == text else done
 
     def once(self, text: str, chain: int) -> str | None:
         """``text`` with the chain undone; U+FFFD where bytes are missing; None if it can't have been."""
+        if chain == DROPPED:
+            return self.refill(text)
         wrong, right = CHAINS[chain]
         if "�" in text and right != "utf_8":
             parts = [self.once(part, chain) or part for part in text.split("�")]
@@ -94,54 +202,23 @@ class Chains:
                 return None
             out = text.translate(self.translations[chain])
             return None if out == text else out
-        table = self.tables.get(wrong)
-        try:
-            if table is None:
-                raw = text.replace("�", "?").encode(wrong)
-            elif "�" in text:
-                raw = bytes(255 if c == "�" else table[c] for c in text)
-            else:
-                raw = bytes(map(table.__getitem__, text))
-        except (KeyError, UnicodeEncodeError):
-            return None
-        out = raw.decode(right, "replace")
+        raw = self.raw(text, wrong)
+        out = None if raw is None else raw.decode(right, "replace")
         return None if out == text else out
 
 
-class Model(dict):
-    """Log likelihood of a token under character bigrams that back off to single characters; the mapping holds
-    the pairs asked for so far."""
-
-    def __init__(self, pairs: dict[str, int]) -> None:
-        super().__init__()
-        first, second = Counter(), Counter()
-        for pair, n in pairs.items():
-            first[pair[0]] += n
-            second[pair[1]] += n
-        self.pairs, self.first, self.second = pairs, first, second
-        self.total = sum(second.values()) + 1.0
-
-    def __missing__(self, ab: str) -> float:
-        back = (self.second[ab[1]] + 0.1) / (self.total + 1000)
-        if len(self) >= 2 * PAIRS:
-            self.clear()
-        p = self[ab] = math.log((self.pairs.get(ab, 0) + 4 * back) / (self.first[ab[0]] + 4))
-        return p
-
-    def __call__(self, token: str) -> float:
-        padded = f"\n{token}\n"
-        return sum([self[a + b] for a, b in zip(padded, padded[1:])]) - BROKEN * token.count("�")
-
-
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of character pairs of the tokens that aren't all ASCII, added up over the partition."""
+    """Counts of character pairs of the tokens that can show anything, added up over the partition."""
     counts: Counter[str] = Counter()
 
     def out() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["pair", "n"])
 
     for batch in batches:
-        words = Counter(t for text in batch.column(0).to_pylist() if text and not text.isascii() for t in _TOKEN.findall(text) if not t.isascii())
+        words: Counter[str] = Counter()
+        for text in batch.column(0).to_pylist():
+            if text and suspect(text):
+                words.update(t for t in _TOKEN.findall(text) if not t.isascii() or "?" in t)
         for token, n in words.items():
             padded = f"\n{token}\n"
             for ab in zip(padded, padded[1:]):
@@ -153,76 +230,126 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def train(texts: DataFrame, text: str = "text") -> dict[str, int]:
-    """Counts of the character pairs of all texts. Pairs seen at least total / PAIRS times are at most PAIRS,
-    so what is sent to the driver and broadcast is bounded whatever the input."""
+def train(texts: DataFrame, text: str = "text") -> Counts:
+    """Counts of the character pairs of all texts. All distinct pairs are kept while they are at most PAIRS;
+    beyond, the least count that keeps at most so many is the bound. Counts of single characters, which are
+    bounded by Unicode, are those of all pairs in any case."""
     counts = cut(texts.select(text).mapInArrow(_pairs, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n")))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return {r.pair: r.n for r in counts.filter(F.col("n") >= max(1, -(-total // PAIRS))).toLocalIterator()}
+    steps = counts.groupBy(F.floor(8 * F.log2("n")).alias("step")).agg(F.count(F.lit(1)).alias("k")).collect()  # at most 8 x 63 rows
+    kept, least = 0, 0
+    for row in sorted(steps, reverse=True):
+        kept += row.k
+        if kept > PAIRS:
+            least = row.step + 1
+            break
+    pairs = {r.pair: r.n for r in counts.filter(F.floor(8 * F.log2("n")) >= least).toLocalIterator()}
+    of = lambda at: {r.c: r.n for r in counts.groupBy(F.substring("pair", at, 1).alias("c")).agg(F.sum("n").alias("n")).toLocalIterator()}
+    return Counts(pairs, of(1), of(2))
+
+
+def _soft(gains: np.ndarray) -> np.ndarray:
+    """Evidence of a sentence: it is garbled with probability PASSAGE and then so much likelier."""
+    return np.logaddexp(math.log(1 - PASSAGE), math.log(PASSAGE) + gains)
 
 
 class Evidence:
     """What undoing each chain gains, by token (kept in a bounded table) and by sentence."""
 
-    def __init__(self, pairs: dict[str, int]) -> None:
-        self.model, self.chains = Model(pairs), Chains()
-        self.kept: dict[str, np.ndarray] = {}
-
-    def best(self, token: str, chain: int, proven: bool = False, base: float | None = None) -> tuple[float, str]:
-        """The gain of undoing ``chain`` as often as it pays, and the result; a sign that stands alone is
-        evidence for nothing, but changes with the rest where the chain is ``proven``. ``base``: the token's own likelihood."""
-        base, gain, result, at = self.model(token) if base is None else base, 0.0, token, token
-        utf8 = CHAINS[chain][1] == "utf_8"
-        if not utf8 and len(token) == 1 and not proven:
-            return 0.0, token
-        worst = shape = 0.0
-        for k in range(DEPTH):
-            undone = self.chains.once(at, chain)
-            if undone is None:
-                break
-            if utf8:
-                shape += SEQUENCE * sum(c > "\x7f" and c != "�" for c in undone) - SEQUENCE * (CHAINS[chain][0] == "gb18030")
-            elif len(undone) == len(at):
-                shape -= SYMBOL * sum(x.isalpha() and not y.isalpha() for x, y in zip(at, undone))
-            at = undone
-            g = self.model(at) - base + shape
-            if k == 0:
-                worst = g
-            if g > gain:
-                gain, result = g, at
-        return (gain, result) if result != token else (worst, token)
-
-    def token(self, token: str) -> np.ndarray:
-        gains = self.kept.get(token)
-        if gains is None:
-            base = self.model(token)
-            gains = np.array([self.best(token, c, base=base)[0] for c in range(LOST)] + [REPLACED * token.count("�")], np.float32)
+    def __init__(self, counts: Counts) -> None:
+        self.model = Model(counts)
+        self.chains = Chains(self.model)
+        self.kept: dict[str, tuple[np.ndarray, bool]] = {}
+
+    def gains(self, token: str) -> np.ndarray:
+        """For each chain how much likelier the token is with it undone, 0 where it can't have been."""
+        token, chains, model = html.unescape(token), self.chains, self.model
+        out = np.zeros(LOST + 1, np.float32)
+        base, done, raws = model(token), {}, {}
+        for chain, (wrong, right) in enumerate(CHAINS):
+            if chain == DROPPED:
+                undone = chains.refill(token)
+            elif (known := chains.known[chain]) is not None:
+                undone = chains.once(token, chain) if known.issuperset(token) or "�" in token else None
+            elif "�" in token and right != "utf_8":
+                undone = chains.once(token, chain)
+            else:
+                if wrong not in raws:
+                    raws[wrong] = chains.raw(token, wrong)
+                undone = None if raws[wrong] is None else raws[wrong].decode(right, "replace")
+            if undone is None or undone == token:
+                continue
+            if right == "utf_8" and chain != DROPPED:
+                # As often as byte sequences are well-formed: a text may have been garbled over and over.
+                # What is likely as it stands needn't be weighed where none is.
+                best, shape, odd = -BROKEN * undone.count("�"), -SEQUENCE * (wrong == "gb18030"), base < -UNLIKELY * (len(token) + 1)
+                while undone is not None and ((formed := len(undone) - len(undone.encode("ascii", "ignore")) - undone.count("�")) or odd):
+                    if (gain := done.get(undone)) is None:
+                        gain = done[undone] = model(undone) - base
+                    shape += SEQUENCE * formed
+                    best, odd = gain + shape if best <= 0 else max(best, gain + shape), False
+                    undone = chains.once(undone, chain)
+                out[chain] = best
+                continue
+            if (gain := done.get(undone)) is None:
+                gain = done[undone] = model(undone) - base
+            if chain == DROPPED:
+                gain += SEQUENCE * max(0, len(token) - len(undone)) - 1  # so that it stands back where nothing was dropped
+            elif len(token) == 1:
+                if undone.isalpha() and not token.isalpha():
+                    continue  # a symbol that stands alone is no letter
+            elif not (lowered := chains.lowered[chain]).isdisjoint(token):
+                gain -= SYMBOL * sum([c in lowered for c in token])
+            out[chain] = gain
+        out[LOST] = REPLACED * token.count("�")
+        if "?" in token:
+            # At the end of a word a question mark is what it seems to be.
+            padded = f"\n{token}\n"
+            for i, c in enumerate(padded):
+                if c == "?" and (padded[i + 1].isalpha() or not any(map(str.isalpha, padded[:i]))):
+                    out[LOST] += math.log(0.5 + 0.5 * math.exp(min(model.gap(padded[i - 1], padded[i + 1]), 50.0)))
+        return out
+
+    def token(self, token: str) -> tuple[np.ndarray, bool]:
+        """The gains, and whether any is greater than 0."""
+        known = self.kept.get(token)
+        if known is None:
+            gains = self.gains(token)
             if len(self.kept) >= _KEPT:
                 self.kept.clear()
-            self.kept[token] = gains
-        return gains
+            known = self.kept[token] = gains, bool((gains > 0).any())
+        return known
 
     def text(self, text: str | None) -> np.ndarray | None:
-        """Evidence for each chain: sum over sentences of what they gain beyond MARGIN; None if there is none."""
-        if not text or text.isascii():
+        """Evidence for each chain, over all sentences; None if no token speaks for any."""
+        if not text or not suspect(text):
             return None
-        total = np.zeros(LOST + 1, np.float32)
+        tokens = [t for t in _TOKEN.findall(text) if not t.isascii() or "?" in t or "&" in t]
+        if not any([self.token(t)[1] for t in set(tokens)]):
+            return None
+        total = np.zeros(LOST + 1)
         for sentence in _SENTENCE.split(text):
-            tokens = [t for t in _TOKEN.findall(sentence) if not t.isascii()]
-            if tokens:
-                total += np.maximum(sum(map(self.token, tokens)) - MARGIN, 0)
-        return total if total.any() else None
+            if suspect(sentence) and (known := [self.token(t) for t in _TOKEN.findall(sentence) if not t.isascii() or "?" in t or "&" in t]):
+                total += _soft(np.sum([k[0] for k in known], 0))
+        return total if (total > 0).any() else None
 
     def repair(self, text: str, chain: int) -> str:
-        """``text`` with ``chain`` undone in the sentences that gain by it."""
+        """``text`` with ``chain`` undone once in the sentences that gain by it."""
         if chain == LOST:
             return text
+
+        def undo(match: re.Match[str]) -> str:
+            token = match[0]
+            if not suspect(token) or token == "?":
+                return token
+            undone = self.chains.once(plain := html.unescape(token), chain)
+            return token if undone is None or (gain := self.token(token)[0][chain]) <= 0 and len(plain) > 1 or gain < -SYMBOL else undone
+
         parts, at = [], 0
         for m in [*_SENTENCE.finditer(text), None]:
             sentence, end = text[at : m.start() if m else len(text)], m.end() if m else len(text)
-            tokens = [t for t in _TOKEN.findall(sentence) if not t.isascii()]
-            if tokens and sum(self.best(t, chain)[0] for t in tokens) > MARGIN:
-                sentence = _TOKEN.sub(lambda t: t[0] if t[0].isascii() else self.best(t[0], chain, True)[1], sentence)
+            tokens = [t for t in _TOKEN.findall(sentence) if suspect(t)]
+            if tokens and sum(self.token(t)[0][chain] for t in tokens) > MARGIN:
+                sentence = _TOKEN.sub(undo, sentence)
             parts += [sentence, text[m.start() : end] if m else ""]
             at = end
         return "".join(parts)
@@ -245,9 +372,9 @@ class Evidence:
         return chains, at
 
 
-def _weigh(records: DataFrame, pairs: dict[str, int], key: str, text: str) -> DataFrame:
-    """(id, grp, chain, e): the evidence of each record for each chain that has any."""
-    shared, name = records.sparkSession.sparkContext.broadcast(pairs), uuid.uuid4().hex
+def _weigh(records: DataFrame, counts: Counts, key: str, text: str) -> DataFrame:
+    """(id, grp, chain, e): the evidence of each record for each chain that anything speaks for."""
+    shared, name = records.sparkSession.sparkContext.broadcast(counts), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         evidence = once(name, lambda: Evidence(shared.value))
@@ -256,7 +383,7 @@ def _weigh(records: DataFrame, pairs: dict[str, int], key: str, text: str) -> Da
             for i, t in enumerate(batch.column("text").to_pylist()):
                 e = evidence.text(t)
                 if e is not None:
-                    some = np.flatnonzero(e)
+                    some = np.flatnonzero(e > 0)
                     rows += [i] * len(some)
                     chains += some.tolist()
                     values += e[some].tolist()
@@ -297,23 +424,24 @@ def _estimate(evidence: DataFrame, sizes: DataFrame, total: int) -> DataFrame:
     raise AssertionError
 
 
-def garbled(records: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", field: str = "doc_kind", pairs: dict[str, int] | None = None, least: float = 0.2) -> DataFrame:
+def garbled(records: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", field: str = "doc_kind", counts: Counts | None = None, least: float = 0.1) -> DataFrame:
     """(key, chain, posterior) of the records whose text, or a passage of it, was wrongly decoded: those
-    whose posterior of having been is at least ``least``, with their most probable chain.
+    whose posterior of having been is at least ``least``, with their most probable chain (of equal ones the first of CHAINS).
 
-    Null, empty and ASCII texts are never garbled; null sources and fields form groups of their own.
+    Null and empty texts are never garbled, nor texts without a character outside ASCII, an HTML entity or a
+    question mark; null sources and fields form groups of their own.
     """
     group = F.concat_ws("\x1e", F.coalesce(source, F.lit("\0")), F.coalesce(field, F.lit("\0")))
     grouped = records.withColumn("grp", group)
-    pairs = train(records, text) if pairs is None else pairs
-    evidence = cut(_weigh(grouped, pairs, key, text))
+    counts = train(records, text) if counts is None else counts
+    evidence = cut(_weigh(grouped, counts, key, text))
     sizes = cut(grouped.groupBy("grp").agg(F.count(F.lit(1)).alias("members")))
     total = sizes.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
-    names = F.element_at(F.array(*map(F.lit, NAMES)), F.col("b.chain") + 1)
+    names = F.element_at(F.array(*map(F.lit, NAMES)), 1 - F.col("b.neg"))
     return (
         _estimate(evidence, sizes, total)
         .groupBy("id")
-        .agg(F.sum("posterior").alias("posterior"), F.max(F.struct(F.col("posterior").alias("p"), "chain")).alias("b"))
+        .agg(F.sum("posterior").alias("posterior"), F.max(F.struct(F.col("posterior").alias("p"), (-F.col("chain")).alias("neg"))).alias("b"))
         .filter(F.col("posterior") >= least)
         .select(F.col("id").alias(key), names.alias("chain"), "posterior")
     )
@@ -322,14 +450,14 @@ def garbled(records: DataFrame, key: str = "doc_id", text: str = "text", source:
 def repair(records: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", field: str = "doc_kind") -> DataFrame:
     """(key, chain, posterior, repaired) of the garbled records; ``repaired`` is null where nothing could be
     undone (characters lost). ``chain`` names all pairs undone, the outermost first, where a text was garbled
-    by several; one name stands for up to DEPTH times.
+    by several, and a pair as often as it was undone.
 
     The garbled keys are counted: few are broadcast to the one scan of the texts, many joined by shuffle.
     """
-    pairs = train(records, text)
-    found = cut(garbled(records, key, text, source, field, pairs))
+    counts = train(records, text)
+    found = cut(garbled(records, key, text, source, field, counts))
     side = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
-    shared, name = records.sparkSession.sparkContext.broadcast(pairs), uuid.uuid4().hex
+    shared, name = records.sparkSession.sparkContext.broadcast(counts), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         evidence = once(name, lambda: Evidence(shared.value))
