@@ -124,3 +124,13 @@ def test_structure_search_finds_itself(spark):
     assert trees.search_by_structure(rows, "forall n, P n -> Q n").first().id == 1
     assert trees.search_by_type(rows, "forall n, P n -> Q n").first().id == 1
     assert trees.search_by_structure(rows, "((").count() == 0
+
+
+def test_salted_join_of_keys_hot_on_either_side(spark, monkeypatch):
+    from theoremill import runtime
+
+    monkeypatch.setattr(runtime, "TASK_ROWS", 10)
+    left = spark.createDataFrame([(1, i) for i in range(40)] + [(2, 0), (3, 0), (3, 0)] + [(None, 1)], "k int, a int")
+    right = spark.createDataFrame([(1, i) for i in range(5)] + [(2, i) for i in range(60)] + [(3, 9), (4, 9)], "k int, b int")
+    got = sorted(tuple(r) for r in runtime.salted_join(left, right, "k", 4).collect())
+    assert got == sorted(tuple(r) for r in left.join(right, "k").collect()) and len(got) == 200 + 60 + 2

@@ -47,9 +47,12 @@ def build_session(app: str = "theoremill", cpus: int | str = 8, **conf: str) ->
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; only where none is named (tests) one of our own."""
+    """The folder the cluster names in spark.checkpoint.dir; only where none is named and all runs on this
+    machine (tests) one of our own. On a cluster a folder must be named."""
     global _own_folder
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not named and _own_folder is None:
         _own_folder = tempfile.mkdtemp(prefix="theoremill-")
     return f"{named or _own_folder}/theoremill"
@@ -147,19 +150,19 @@ def lookup(left: DataFrame, right: DataFrame, key: str, how: str = "inner", tota
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, salts: int = 16) -> DataFrame:
-    """Inner join on ``key`` where both sides may repeat it; hot keys of ``left`` are spread over ``salts``
-    tasks and their rows of ``right`` are repeated once per salt."""
-    hot = hot_keys(left, key)
-    if not hot:
+    """Inner join on ``key`` where both sides may repeat it. A key hot on one side has that side's rows spread
+    over ``salts`` tasks and the other's repeated once per salt; hot on both, over ``salts`` squared."""
+    hot_left, hot_right = hot_keys(left, key), hot_keys(right, key)
+    if not hot_left and not hot_right:
         return left.join(right, key)
-    is_hot = F.col(key).isin(hot)
-    spread = F.when(is_hot, F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")).otherwise(F.lit(0))
-    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    return (
-        left.withColumn("_salt", spread)
-        .join(right.withColumn("_salt", F.explode(copies)), [key, "_salt"])
-        .drop("_salt")
-    )
+
+    def salted(side: DataFrame, own: str, other: str, hot_own: list, hot_other: list) -> DataFrame:
+        spread = F.when(F.col(key).isin(hot_own), F.pmod(F.xxhash64(*side.columns), F.lit(salts)).cast("int")).otherwise(F.lit(0))
+        copies = F.when(F.col(key).isin(hot_other), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+        return side.withColumn(own, spread if hot_own else F.lit(0)).withColumn(other, F.explode(copies) if hot_other else F.lit(0))
+
+    spread_left = salted(left, "_salt_l", "_salt_r", hot_left, hot_right)
+    return spread_left.join(salted(right, "_salt_r", "_salt_l", hot_right, hot_left), [key, "_salt_l", "_salt_r"]).drop("_salt_l", "_salt_r")
 
 
 def row_index(df: DataFrame, order: Sequence[str], name: str = "index") -> DataFrame:
