@@ -116,18 +116,30 @@ m AS (
 _FILE = r"array_to_string(list_filter(string_split_regex(lower(trim(source_file, {0})), '[/\\]+'), lambda x: x <> '' AND x <> '.'), '/')".format(_BLANKS)
 _AUTHOR = f"lower(trim(author, {_BLANKS}))"
 
+_OVERLAPS = f"""
+WITH d AS {_latest('tactic_dataset', 'pair_id', 'recorded_at')},
+t AS (SELECT pair_id, split, list_distinct({_TOKENS.format('lower(state_text)')}) AS l FROM d WHERE state_text IS NOT NULL),
+u AS (SELECT pair_id, split, len(l) AS n, unnest(l) AS t FROM t WHERE len(l) >= 15),
+o AS (
+  SELECT a.pair_id AS train_id, b.pair_id AS other_id FROM u a JOIN u b ON a.t = b.t AND a.split = 'train' AND b.split IN ('val', 'test')
+  GROUP BY a.pair_id, b.pair_id, a.n, b.n HAVING count(*) >= 0.8 * (a.n + b.n - count(*))
+)"""
+
 #: The same in DuckDB's SQL. None for nearest vectors, new splits, pieces, ids and garbled text: SQL can't
 #: express them, or not on whole tables; they are tested against brute force.
 ORACLES: dict[str, str] = {
     "p1_found": f"{_SYMBOLS} SELECT symbol, mark FROM m WHERE mark IS NOT NULL",
     "p1_symbols": f"{_SYMBOLS} SELECT * FROM m",
-    "p3_found": f"""
-WITH d AS {_latest('tactic_dataset', 'pair_id', 'recorded_at')},
-t AS (SELECT pair_id, split, list_distinct({_TOKENS.format('lower(state_text)')}) AS l FROM d WHERE state_text IS NOT NULL),
-u AS (SELECT pair_id, split, len(l) AS n, unnest(l) AS t FROM t WHERE len(l) >= 15)
-SELECT least(a.pair_id, b.pair_id) AS pair_a, greatest(a.pair_id, b.pair_id) AS pair_b
-FROM u a JOIN u b ON a.t = b.t AND a.split = 'train' AND b.split IN ('val', 'test')
-GROUP BY a.pair_id, b.pair_id, a.n, b.n HAVING count(*) >= 0.8 * (a.n + b.n - count(*))""",
+    "p3_found": f"{_OVERLAPS} SELECT least(train_id, other_id) AS pair_a, greatest(train_id, other_id) AS pair_b FROM o",
+    "p3_report": f"""{_OVERLAPS},
+c AS (SELECT row_number() OVER () AS c, members FROM duplicate_cluster),
+m AS (SELECT DISTINCT c, name FROM (SELECT c, unnest(members) AS name FROM c) WHERE name IS NOT NULL),
+k AS (SELECT DISTINCT a.name AS x, b.name AS y FROM m a JOIN m b USING (c)),
+j AS (
+  SELECT b.split, b.project_id, other_id, (a.theorem_name, b.theorem_name) IN (SELECT (x, y) FROM k) AS known
+  FROM o JOIN d a ON a.pair_id = train_id JOIN d b ON b.pair_id = other_id
+)
+SELECT split, project_id, count(*) AS pairs, count(DISTINCT other_id) AS records, count(*) FILTER (known) AS known FROM j GROUP BY ALL""",
     "p5_found": f"""
 WITH RECURSIVE d AS {_latest('tactic_dataset', 'pair_id', 'recorded_at')},
 v AS (
