@@ -20,18 +20,42 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, v, DAY, 0, 0) for i, v in rows], SCHEMA)
 
 
-def test_recall_with_many_parts(spark, monkeypatch):
-    monkeypatch.setattr(module, "PART_ROWS", 100)
-    x = vectors(3000, 32)
-    found = nearest(frame(spark, [(i, v.tolist()) for i, v in enumerate(x)]), 10, width=32).collect()
+def recall(spark, x, width, **options):
+    found = nearest(frame(spark, [(i, v.tolist()) for i, v in enumerate(x)]), 10, width=width, **options).collect()
     sim = unit(x) @ unit(x).T
     np.fill_diagonal(sim, -2)
     true = top(sim, 10)
     got = {}
     for r in found:
         got.setdefault(r.id, set()).add(r.neighbour)
-    hits = sum(len(got[i] & set(true[i].tolist())) for i in range(len(x)))
-    assert all(len(g) == 10 for g in got.values()) and hits / (10 * len(x)) >= 0.9
+    assert len(found) == 10 * len(x) and all(len(g) == 10 for g in got.values())
+    return sum(len(got[i] & set(true[i].tolist())) for i in range(len(x))) / (10 * len(x))
+
+
+def test_recall_with_many_parts(spark, monkeypatch):
+    monkeypatch.setattr(module, "PART_ROWS", 100)
+    assert recall(spark, vectors(3000, 32), 32) >= 0.95
+
+
+def test_recall_with_parts_of_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(module, "PART_ROWS", 1000)
+    monkeypatch.setattr(module, "MAX_PARTS", 1)
+    monkeypatch.setattr(module, "BLOCK_ROWS", 130)
+    assert recall(spark, vectors(2000, 16), 16) > 0.99
+
+
+def test_recall_with_a_second_level(spark, monkeypatch):
+    monkeypatch.setattr(module, "PART_ROWS", 60)
+    monkeypatch.setattr(module, "MAX_PARTS", 8)
+    monkeypatch.setattr(module, "BLOCK_ROWS", 150)
+    x = vectors(3000, 24)
+    x[:1000] = x[0] + 0.05 * x[:1000]  # a dense region with a third of all
+    assert recall(spark, x, 24) >= 0.9
+
+
+def test_exact_with_all_parts_asked(spark, monkeypatch):
+    monkeypatch.setattr(module, "PART_ROWS", 50)
+    assert recall(spark, vectors(800, 16), 16, probes=1024) > 0.99
 
 
 def test_copies_and_broken_vectors(spark):
