@@ -55,3 +55,16 @@ def test_report(spark):
 
 def test_empty(spark):
     assert split_overlaps(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_frequencies_are_exact_either_way(spark, monkeypatch):
+    import theoremill.llm.overlap as module
+
+    rows = spark.createDataFrame(states(3), SCHEMA).selectExpr("pair_id", "state_text", "if(split = 'train', 'left', 'right') as side")
+    classes, _ = term_classes(rows, "pair_id", "state_text", "side", 3)
+    every = lambda: sorted((r.cls, list(zip(r.terms, r.dfs)), r.is_left, r.is_right) for r in module.document_frequencies(classes).collect())
+    broadcast = every()
+    monkeypatch.setattr(module, "TABLE_TERMS", 10)
+    assert every() == broadcast
+    held = {r.cls: set(r.terms) for r in classes.collect()}
+    assert all(d == sum(t in h for h in held.values()) for _, pairs, _, _ in broadcast[:5] for t, d in pairs)
