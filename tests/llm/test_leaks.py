@@ -64,3 +64,32 @@ def test_rows(spark, monkeypatch):
         assert {(r.doc_id, r.item_id) for r in found if not r.verbatim} == {(6, 1)} and len(found) == 5
     assert leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame([], ITEMS)).count() == 0
     assert leaks(spark.createDataFrame([], DOCS), spark.createDataFrame(items, ITEMS)).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_repetitive_texts_have_the_same_tiles(seed, monkeypatch):
+    r = random.Random(seed)
+    doc, item = (np.array([r.randint(0, 3 if seed % 2 else 1) for _ in range(r.randint(0, n))], np.uint64) for n in (60, 25))
+    monkeypatch.setattr(module, "MOST_MATCHES", -10_000)
+    assert sorted(n for _, _, n in tile(doc, item, 3)) == sorted(n for _, _, n in brute_tiles(doc.tolist(), item.tolist(), 3))
+
+
+def test_long_repeated_boilerplate():
+    doc, item = np.full(40_000, 7, np.uint64), np.full(3_000, 7, np.uint64)
+    assert tile(doc, item, 8) == [(0, 0, 3_000)]
+
+
+def test_more_items_than_a_block_read_the_documents_once(spark):
+    items = spark.range(200_000).selectExpr("id AS item_id", "concat('what about item ', id % 100000) AS query", "concat_ws(' ', transform(sequence(0, 19), k -> concat('w', id % 100000, 'x', k))) AS passage")
+    docs = [(i, "so " + " ".join(f"w{i * 7}x{k}" for k in range(2, 16)) + f" and what about item {i}", 0, 0) for i in range(50)]
+    table = spark.createDataFrame(docs, DOCS)
+    reads = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    found = leaks(table.mapInArrow(count, table.schema), items).collect()
+    assert reads.value == len(docs)
+    assert {(r.doc_id, r.item_id, r.part) for r in found if r.verbatim} == {(i, j + 100_000 * k, p) for i in range(50) for k in (0, 1) for j, p in ((7 * i, "passage"), (i, "query"))}
