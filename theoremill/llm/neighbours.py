@@ -231,8 +231,8 @@ def search(vectors: DataFrame, k: int, probes: int = PROBES, spent: DataFrame |
         own = lookup(indexed, large, "part", "left").withColumn("block", F.pmod(F.xxhash64("id"), F.coalesce("blocks", F.lit(1))).cast("int"))
         every = lookup(asking, large, "part", "left").withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
         rows = own.drop("blocks").unionByName(every.drop("blocks"))
-    # About a block's index to a task, whatever the size of the table.
-    tasks = max(vectors.sparkSession.sparkContext.defaultParallelism, -(-n // PART_ROWS))
+    # Few parts to a task, whatever the size of the table: with more tasks than parts few of them meet in one.
+    tasks = max(vectors.sparkSession.sparkContext.defaultParallelism, -(-3 * n // PART_ROWS))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, ids, held, index, known = None, [], [], None, None
