@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from theoremill.operators import audits, dataset, fusion, graph, symbols, timing, trees
+from theoremill.operators import audits, dataset, fusion, graph, symbols, timing, traces, trees
 from theoremill.runtime import latest, lookup, row_index, salted_join
 import theoremill.runtime as runtime
 
@@ -134,3 +134,20 @@ def test_salted_join_of_keys_hot_on_either_side(spark, monkeypatch):
     right = spark.createDataFrame([(1, i) for i in range(5)] + [(2, i) for i in range(60)] + [(3, 9), (4, 9)], "k int, b int")
     got = sorted(tuple(r) for r in runtime.salted_join(left, right, "k", 4).collect())
     assert got == sorted(tuple(r) for r in left.join(right, "k").collect()) and len(got) == 200 + 60 + 2
+
+
+def test_duplicate_proofs(spark):
+    rows = [("p", "a", 1, "G", "intros  n."), ("p", "a", 2, "H", "auto."), ("p", "b", 5, "G", " intros n."), ("q", "b", 7, "x", "auto.\n"), ("p", "b", 9, "y", "auto."), ("p", "c", 1, "G", "auto."), ("p", "c", 2, "G", "intros n."), ("p", "d", 1, None, None), ("p", "e", 4, "", "")]
+    found = traces.duplicates(spark.createDataFrame(rows, "project string, theorem string, step int, state string, tactic string")).collect()
+    assert sorted(tuple(r) for r in found) == [("p", "a", "p/a", 2), ("p", "b", "p/a", 2), ("p", "c", "p/c", 1), ("p", "d", "p/d", 2), ("p", "e", "p/d", 2), ("q", "b", "q/b", 1)]
+
+
+def test_histograms_of_large_trees_are_the_same(spark, monkeypatch):
+    parsed = trees.parse_types(spark.createDataFrame([(1, "forall n, P n -> Q n /\\ R n"), (2, "A -> B"), (3, "A")], "id long, type_expr string"))
+    nodes = trees.node_table(parsed)
+    every = lambda: sorted(tuple(r) for r in trees.wl_histograms(nodes).collect())
+    by_tree = every()
+    monkeypatch.setattr(trees, "TASK_NODES", 3)
+    assert every() == by_tree
+    index = {r.id: r for r in trees.type_index(spark.createDataFrame([(1, "forall n, P n -> Q n /\\ R n"), (2, "A -> B"), (3, "A"), (4, None)], "id long, type_expr string")).collect()}
+    assert by_tree == sorted((i, k, n) for i, r in index.items() for k, n in r.histogram.items()) and [index[i].size for i in (2, 3)] == [3, 1]

@@ -6,6 +6,7 @@ the whole tree at once, so they run in Arrow UDFs, one pass without a shuffle.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from dataclasses import dataclass, field
@@ -148,18 +149,76 @@ class _Parser:
         raise ParseError(f"unexpected {text}")
 
 
-def parse(text: str | None) -> Tree | None:
-    """The normalised tree of a type expression; null for null, empty and unparsable texts."""
+# Words that are never names of variables.
+WORDS = ("forall", "fun", "match", "let", "in", "if", "then", "else", "return", "as", "with", "end", "fix", "cofix", "Prop", "Set", "Type")
+
+
+def parse_nested(text: str | None):
+    """Nested (tag, payload, children) of a type expression; null for null, empty and unparsable texts."""
     try:
         parser = _Parser(text or "")
         root = parser.term(100, [])
-        if parser.at != len(parser.tokens):
-            return None
-        return cse(flatten(root))
+        return root if parser.at == len(parser.tokens) else None
     except (ParseError, RecursionError):
         return None
 
 
+def parse(text: str | None) -> Tree | None:
+    """The normalised tree of a type expression; null for null, empty and unparsable texts."""
+    root = parse_nested(text)
+    return None if root is None else cse(flatten(root))
+
+
+def free_names(root) -> list[str]:
+    """Constants that may be meant as variables, in order of first appearance: names without a dot that begin
+    with a small letter or an underscore and are no words of the language."""
+    out, stack = {}, [root]
+    while stack:
+        tag, name, children = stack.pop()
+        if tag == "Const" and "." not in name and name not in WORDS and (name[:1].islower() or name[:1] == "_"):
+            out[name] = None
+        stack += reversed(children)
+    return list(out)
+
+
+def bind(root, names: list[str]):
+    """``root`` under one product over Type for each of ``names``, whose uses become indices. An expression
+    that begins with a product is left alone."""
+    if not names or root[0] == "Prod":
+        return root
+
+    def inside(node, depth: int):
+        tag, name, children = node
+        if tag == "Const" and name in names:
+            return ("Rel", str(depth + len(names) - names.index(name)), [])
+        below = [depth + (tag == "Abs" or tag == "Prod" and k == 1) for k in range(len(children))]
+        return (tag, name, [inside(c, d) for c, d in zip(children, below)])
+
+    out = inside(root, 0)
+    for _ in names:
+        out = ("Prod", "", [("Sort", "Type", []), out])
+    return out
+
+
+def peel(tree: Tree, most: int | None = None) -> Tree:
+    """The tree without its leading products, of which at most ``most`` are taken off."""
+    at = taken = 0
+    while tree.tags[at : at + 1] == ["Prod"] and len(tree.children[at]) == 2 and (most is None or taken < most):
+        at, taken = tree.children[at][1], taken + 1
+    return flatten(nested(tree, at)) if taken else tree
+
+
+def wl_labels(tags: list[str], depths: list[int], children: list[list[int]], rounds: int) -> Counter:
+    """How often each label occurs in all rounds together; nodes come parents first."""
+    of = lambda text: hashlib.md5(text.encode()).hexdigest()
+    labels = [of(f"{t}_{d}_{len(c)}") for t, d, c in zip(tags, depths, children)]
+    counts = Counter(labels)
+    for _ in range(rounds):
+        labels = [of(own + "".join(sorted(labels[c] for c in below))) for own, below in zip(labels, children)]
+        counts.update(labels)
+    return counts
+
+
 def flatten(root) -> Tree:
     """Nested (tag, payload, children) to pre-order lists, without recursion."""
     tree, stack = Tree(), [(root, -1)]

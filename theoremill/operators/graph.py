@@ -7,11 +7,13 @@ short. Edges are (src, dst); hot nodes go through salted joins.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from theoremill.functions.names import module_of
-from theoremill.runtime import cut, release, salted_join
+from theoremill.runtime import BROADCAST_ROWS, cut, hot_keys, lookup, release, salted_join
 
 
 class ResultTooLarge(ValueError):
@@ -28,22 +30,37 @@ def closure(edges: DataFrame, roots: DataFrame, depth: int | None = None, allowe
 
     ``depth`` bounds the distance (values below 1 count as 1); nodes that aren't in ``allowed`` (node) end
     the traversal; more than ``most`` nodes raise ResultTooLarge after the level that exceeds it.
+
+    The edges are written once. A frontier of few nodes is broadcast to them, after it has been counted; a
+    larger one is joined by shuffle, the hot nodes split off. Levels are appended, never written again but to
+    keep the plan short.
     """
     depth = None if depth is None else max(1, depth)
-    seen = cut(roots.select("node").filter("node is not null").distinct().withColumn("depth", F.lit(0)))
-    frontier, level = seen, 0
-    while depth is None or level < depth:
+    held = cut(edges.select(F.col("src").alias("node"), "dst"))
+    seen = [cut(roots.select("node").filter("node is not null").distinct().withColumn("depth", F.lit(0)))]
+    frontier, level, n = seen[0], 0, seen[0].count()
+    total, hot = n, None
+    while n and (depth is None or level < depth):
         level += 1
-        found = salted_join(edges.select(F.col("src").alias("node"), "dst"), frontier.select("node"), "node").select(F.col("dst").alias("node")).distinct()
+        if n <= BROADCAST_ROWS:
+            ahead = held.join(F.broadcast(frontier.select("node")), "node")
+        else:
+            hot = hot_keys(held, "node") if hot is None else hot
+            ahead = lookup(held, frontier.select("node"), "node", hot=hot)
+        found = ahead.select(F.col("dst").alias("node")).distinct()
         if allowed is not None:
             found = found.join(allowed.select("node"), "node", "left_semi")
-        frontier = cut(found.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(level)))
-        if frontier.isEmpty():
-            break
-        seen = cut(seen.unionByName(frontier))
-        if most is not None and seen.count() > most:
+        before = reduce(DataFrame.unionByName, seen)
+        frontier = cut(found.join(before.select("node"), "node", "left_anti").withColumn("depth", F.lit(level)))
+        n = frontier.count()
+        total += n
+        if n:
+            seen.append(frontier)
+        if len(seen) > 8:
+            seen = [cut(before.unionByName(frontier) if n else before)]
+        if most is not None and total > most:
             raise ResultTooLarge(f"the closure holds more than {most} nodes")
-    return seen
+    return reduce(DataFrame.unionByName, seen)
 
 
 def impact(edges: DataFrame, roots: DataFrame, **options) -> DataFrame:
@@ -66,6 +83,20 @@ def subgraph(edges: DataFrame, root: DataFrame, depth: int = 2, most: int = 50)
     return closure(edges, root, depth).orderBy("depth", "node").limit(most)
 
 
+def truncated(edges: DataFrame, root: DataFrame, depth: int = 2, most: int = 50) -> DataFrame:
+    """(nodes, shown, hidden): how many nodes :func:`subgraph` has found, shows and leaves out."""
+    n = closure(edges, root, depth).agg(F.count(F.lit(1)).alias("nodes"))
+    return n.select("nodes", F.least("nodes", F.lit(most)).cast("long").alias("shown"), F.greatest(F.col("nodes") - most, F.lit(0)).cast("long").alias("hidden"))
+
+
+def module_cycles(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(module, component): modules that use each other in a circle. ``nodes``: node, module. Modules are
+    numbered in the order of their names, so a component has the name of its first."""
+    of = lambda end: nodes.select(F.col("node").alias(end), F.col("module").alias(f"{end}_module"))
+    pairs = salted_join(lookup(edges, of("src"), "src").select("dst", "src_module"), of("dst"), "dst").select(F.col("src_module").alias("src"), F.col("dst_module").alias("dst")).filter("src <> dst").distinct()
+    return components(pairs).withColumnRenamed("node", "module")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the strongly connected components of two or more nodes, by their smallest node.
 

@@ -17,6 +17,7 @@ interval of the same numbering. All tables are hash-partitioned by node; hot par
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -27,12 +28,16 @@ from theoremill.runtime import cut, lookup, strip
 
 #: Siblings whose running sum one task computes.
 SIBLINGS_PER_TASK = 50_000
+#: Pre-order numbers of a block, and how many times longer the blocks of the next level are.
+SPAN = 64
 
 
 @dataclass
 class Hierarchy:
     """``nodes``: node, parent, root, depth, kind ('tree', 'cycle', 'into_cycle'), size, chain, pos; with
-    intervals also lo and hi; with paths also path (ids from the root to the node)."""
+    intervals also lo and hi; with segments also the pieces of chains that make up the path from the root, each
+    with its chain (named by its head) and the last position taken, at most log2(n) of them; with paths also
+    path (ids from the root to the node), as long as the node is deep."""
 
     nodes: DataFrame
 
@@ -50,14 +55,32 @@ class Hierarchy:
     def descendants(self, of: DataFrame | None = None) -> DataFrame:
         """(ancestor, descendant, distance) for every ancestor, or for those listed in ``of`` (node).
 
-        Needs ``paths=True``: each node names its own ancestors, so no group is ever gathered.
+        Needs ``intervals=True``. An ancestor's descendants are an interval of the pre-order numbers of its
+        tree. Numbers are cut into blocks of SPAN^k, k by the interval's length, so that an ancestor asks at
+        most SPAN^2 + 2 blocks and meets few others than its own; no group is ever gathered.
         """
-        pairs = (
-            self.nodes.filter("kind = 'tree' and depth > 0")
-            .select(F.col("node").alias("descendant"), "depth", F.posexplode(F.slice("path", 1, F.col("depth"))).alias("at", "ancestor"))
-            .select("ancestor", "descendant", (F.col("depth") - F.col("at")).alias("distance"))
-        )
-        return pairs if of is None else pairs.join(of.select(F.col("node").alias("ancestor")).distinct(), "ancestor", "left_semi")
+        tree = cut(self.nodes.filter("kind = 'tree'").select("node", "root", "depth", "size", "lo", "hi"))
+        most = tree.agg(F.max("size")).first()[0] or 1
+        levels = max(1, int(math.log(most, SPAN)) - 1)
+        above = tree.filter("size > 1")
+        if of is not None:
+            above = above.join(of.select("node").distinct(), "node", "left_semi")
+        level = F.greatest(F.lit(1), F.least(F.lit(levels), F.floor(F.log(float(SPAN), F.col("size"))) - 1)).cast("int")
+        width = F.pow(F.lit(SPAN), "level").cast("long")
+        asks = above.withColumn("level", level).select(
+            F.col("node").alias("ancestor"), "root", "level", F.col("lo").alias("from"), F.col("hi").alias("to"), F.col("depth").alias("above"),
+            F.explode(F.sequence(F.floor((F.col("lo") + 1) / width), F.floor((F.col("hi") - 1) / width))).alias("block"),
+        )
+        below = tree.filter("depth > 0").select(F.col("node").alias("descendant"), "root", "depth", "lo", F.explode(F.sequence(F.lit(1), F.lit(levels))).alias("level"))
+        below = below.withColumn("block", F.floor(F.col("lo") / width))
+        return asks.join(below, ["root", "level", "block"]).filter(F.col("lo").between(F.col("from") + 1, F.col("to") - 1)).select("ancestor", "descendant", (F.col("depth") - F.col("above")).alias("distance"))
+
+    def paths(self) -> DataFrame:
+        """(node, path): ids from the root to each node of a tree, the node last; needs ``intervals=True``. What
+        is gathered for a node is its own path, no more."""
+        own = self.nodes.filter("kind = 'tree'").select(F.col("node").alias("ancestor"), F.col("node").alias("descendant"), F.lit(0).cast("long").alias("distance"))
+        steps = F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("d"), "ancestor")))
+        return self.descendants().unionByName(own).groupBy(F.col("descendant").alias("node")).agg(steps.alias("s")).select("node", F.col("s.ancestor").alias("path"))
 
 
 def parent_edges(rows: DataFrame, relation: str = "instance_of") -> DataFrame:
@@ -151,7 +174,7 @@ def _light_offsets(light: DataFrame) -> DataFrame:
     return within.join(ahead, ["parent", "bucket"]).select("node", (F.col("inner") + F.col("outer")).alias("before"))
 
 
-def hierarchy(edges: DataFrame, intervals: bool = False, paths: bool = False) -> Hierarchy:
+def hierarchy(edges: DataFrame, intervals: bool = False, paths: bool = False, segments: bool = False) -> Hierarchy:
     """Full hierarchies of ``edges`` (node, parent): one row for each id at either end of an edge.
 
     A root has itself as root and depth 0; a node on a cycle the cycle's smallest id and depth -1; a node
@@ -159,6 +182,7 @@ def hierarchy(edges: DataFrame, intervals: bool = False, paths: bool = False) ->
     null end or node = parent are ignored; of several parents of a node the smallest holds; an empty table
     gives an empty result; columns besides the two are ignored.
     """
+    intervals = intervals or paths
     edges = (
         edges.filter("node is not null and parent is not null and node <> parent")
         .groupBy(F.col("node").cast("long").alias("node"))
@@ -186,7 +210,7 @@ def hierarchy(edges: DataFrame, intervals: bool = False, paths: bool = False) ->
     chained = cut(marked.select("node", "parent", "size", F.when(up, F.col("parent")).otherwise(F.col("node")).alias("top"), F.when(up, 1).otherwise(0).cast("long").alias("dist")))
     chained = double_pointers(chained)[0].select("node", "parent", "size", F.col("top").alias("chain"), F.col("dist").alias("pos"))
 
-    chains = _chains(chained, intervals, paths)
+    chains = _chains(chained, intervals, segments)
     full = lookup(chained, chains, "chain")
     columns = {
         "node": F.col("node"),
@@ -200,8 +224,8 @@ def hierarchy(edges: DataFrame, intervals: bool = False, paths: bool = False) ->
     }
     if intervals:
         columns |= {"lo": F.col("_lo") + F.col("pos"), "hi": F.col("_lo") + F.col("pos") + F.col("size")}
-    if paths:
-        columns["path"] = F.concat("_prefix", F.slice("_segment", F.lit(1), (F.col("pos") + 1).cast("int")))
+    if segments:
+        columns["segments"] = F.concat("_prefix", F.array(F.struct("chain", F.col("pos").alias("upto"))))
     nodes = full.select(*[c.alias(k) for k, c in columns.items()])
     if not looping.isEmpty():
         rest = _cycles(looping).join(looping.select("node", "parent"), "node")
@@ -214,11 +238,14 @@ def hierarchy(edges: DataFrame, intervals: bool = False, paths: bool = False) ->
         }
         types = dict(nodes.dtypes)
         nodes = nodes.unionByName(rest.select(*[known.get(c, F.lit(None).cast(types[c])).alias(c) for c in nodes.columns]))
+    if paths:
+        nodes = cut(nodes)
+        nodes = nodes.join(Hierarchy(nodes).paths(), "node", "left")
     return Hierarchy(nodes)
 
 
-def _chains(chained: DataFrame, intervals: bool, paths: bool) -> DataFrame:
-    """(chain, _root, _depth[, _lo][, _prefix, _segment]): what the head of each chain has.
+def _chains(chained: DataFrame, intervals: bool, segments: bool) -> DataFrame:
+    """(chain, _root, _depth[, _lo][, _prefix]): what the head of each chain has.
 
     Doubling over the tree of chains, which is at most log2(n) deep.
     """
@@ -237,11 +264,8 @@ def _chains(chained: DataFrame, intervals: bool, paths: bool) -> DataFrame:
         columns.append(shift.alias("lo"))
         roots.append(F.lit(0).cast("long").alias("lo"))
     top = heads.filter("parent is null")
-    if paths:
-        segments = chained.groupBy("chain").agg(F.array_sort(F.collect_list(F.struct("pos", "node"))).alias("s")).select("chain", F.col("s.node").alias("_segment"))
-        light = lookup(light, segments.withColumnRenamed("chain", "above"), "above")
-        columns.append(F.slice("_segment", F.lit(1), (F.col("ppos") + 1).cast("int")).alias("prefix"))
-        roots.append(F.array().cast("array<bigint>").alias("prefix"))
-    state = double_pointers(cut(light.select(*columns).unionByName(top.select(*roots))), sums=("depth", "lo") if intervals else ("depth",), arrays=("prefix",) if paths else ())[0]
-    out = state.select(F.col("node").alias("chain"), F.col("top").alias("_root"), F.col("depth").alias("_depth"), *[F.col(c).alias(f"_{c}") for c in ("lo", "prefix") if c in state.columns])
-    return out.join(segments, "chain") if paths else out
+    if segments:
+        columns.append(F.array(F.struct(F.col("above").alias("chain"), F.col("ppos").alias("upto"))).alias("prefix"))
+        roots.append(F.array().cast("array<struct<chain:bigint,upto:bigint>>").alias("prefix"))
+    state = double_pointers(cut(light.select(*columns).unionByName(top.select(*roots))), sums=("depth", "lo") if intervals else ("depth",), arrays=("prefix",) if segments else ())[0]
+    return state.select(F.col("node").alias("chain"), F.col("top").alias("_root"), F.col("depth").alias("_depth"), *[F.col(c).alias(f"_{c}") for c in ("lo", "prefix") if c in state.columns])

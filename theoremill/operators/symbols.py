@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from theoremill.functions.names import STANDARD, alias_symbol, suffixes
 from theoremill.functions.scores import symbol_weight
-from theoremill.runtime import cut, strip
+from theoremill.runtime import BROADCAST_ROWS, cut, lookup, strip
 
 # Operators and the names they are indexed by.
 OPERATORS = {"+": "Nat.add", "*": "Nat.mul", "-": "Nat.sub"}
@@ -61,46 +61,75 @@ def resolve_query(symbols: Sequence[str], known: DataFrame) -> DataFrame:
     return found.unionByName(rest)
 
 
-def relevance(index: DataFrame, freq: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(id, relevance): weight of the declaration's symbols in ``chosen`` (symbol) over that of all of them.
+def weigh(index: DataFrame) -> DataFrame:
+    """(symbol, id, w, y): the inverted index with each symbol's weight and the sum of the weights of its
+    declaration; made once, it serves every round of every selection."""
+    weighted = cut(lookup(index, frequencies(index), "symbol").select("symbol", "id", symbol_weight(F.col("freq")).alias("w")))
+    return weighted.join(weighted.groupBy("id").agg(F.sum("w").alias("y")), "id").select("symbol", "id", "w", "y")
 
-    Only declarations that share a symbol are weighed.
-    """
-    weighted = index.join(freq, "symbol").select("id", "symbol", symbol_weight(F.col("freq")).alias("w"))
-    marked = weighted.join(chosen.select("symbol", F.lit(True).alias("hit")), "symbol", "left")
-    sums = marked.groupBy("id").agg(F.sum(F.when(F.col("hit"), F.col("w")).otherwise(0.0)).alias("x"), F.sum("w").alias("y"))
-    return sums.filter("x > 0").select("id", (F.col("x") / F.col("y")).alias("relevance"))
 
+def select_weighted(weights: DataFrame, symbols: DataFrame, p: float = 0.6, c: float = 2.4, rounds: int = 5) -> DataFrame:
+    """(id, relevance, round): iterative selection. Each round takes the declarations whose relevance, the
+    weight of their chosen symbols over that of all, reaches p / c^round, then chooses their symbols too. At
+    most ``rounds`` rounds; empty symbols give none.
 
-def select_relevant(index: DataFrame, freq: DataFrame, symbols: DataFrame, p: float = 0.6, c: float = 2.4, rounds: int = 5) -> DataFrame:
-    """(id, relevance, round): iterative selection. Each round takes the declarations whose relevance reaches
-    p / c^round, then adds their symbols to the chosen ones. At most ``rounds`` rounds; empty symbols give none."""
-    index = cut(index)
-    chosen, selected, threshold = cut(symbols.select("symbol").distinct()), None, p
+    A round reads the postings of the symbols chosen last and adds them to the running sums, so only
+    declarations that share a chosen symbol are ever weighed.
+    """
+    fresh = cut(symbols.select("symbol").distinct())
+    chosen, sums, selected, threshold = fresh, None, None, p
     for k in range(rounds):
-        near = relevance(index, freq, chosen).filter(F.col("relevance") >= threshold)
+        hits = _matching(weights, fresh).groupBy("id", "y").agg(F.sum("w").alias("x"))
+        sums = cut(hits if sums is None else sums.unionByName(hits.select("id", "y", "x")).groupBy("id", "y").agg(F.sum("x").alias("x")), replaces=sums)
+        near = sums.select("id", (F.col("x") / F.col("y")).alias("relevance")).filter(F.col("relevance") >= threshold)
         if selected is not None:
             near = near.join(selected.select("id"), "id", "left_anti")
         batch = cut(near.withColumn("round", F.lit(k + 1)))
         if batch.isEmpty():
             break
         selected = batch if selected is None else cut(selected.unionByName(batch))
-        chosen = cut(chosen.unionByName(index.join(batch.select("id"), "id", "left_semi").select("symbol")).distinct())
-        threshold /= c
-    return selected if selected is not None else index.select("id", F.lit(0.0).alias("relevance"), F.lit(0).alias("round")).limit(0)
+        if k + 1 < rounds:
+            n = batch.count()
+            side = F.broadcast(batch.select("id")) if n <= BROADCAST_ROWS else batch.select("id")
+            fresh = cut(weights.join(side, "id", "left_semi").select("symbol").distinct().join(chosen, "symbol", "left_anti"))
+            chosen = cut(chosen.unionByName(fresh))
+            threshold /= c
+    return selected if selected is not None else weights.select("id", F.lit(0.0).alias("relevance"), F.lit(0).alias("round")).limit(0)
+
+
+def _matching(weights: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The postings of the ``chosen`` symbols, few of them broadcast after they have been counted."""
+    n = chosen.count()
+    if n <= BROADCAST_ROWS:
+        return weights.join(F.broadcast(chosen.select("symbol")), "symbol", "left_semi")
+    return lookup(weights, chosen.select("symbol"), "symbol")
 
 
-def search_by_symbols(declarations: DataFrame, symbols: Sequence[str], limit: int = 50) -> DataFrame:
-    """(id, relevance): the selected declarations that hold at least one symbol of every query symbol."""
-    index = cut(postings(declarations))
-    freq = cut(frequencies(index))
-    groups = cut(resolve_query(symbols, freq.select("symbol")))
-    picked = select_relevant(index, freq, groups)
+def select_relevant(index: DataFrame, freq: DataFrame, symbols: DataFrame, p: float = 0.6, c: float = 2.4, rounds: int = 5) -> DataFrame:
+    """:func:`select_weighted` over an inverted index (symbol, id) with given frequencies (symbol, freq)."""
+    weighted = cut(lookup(index, freq, "symbol").select("symbol", "id", symbol_weight(F.col("freq")).alias("w")))
+    return select_weighted(cut(weighted.join(weighted.groupBy("id").agg(F.sum("w").alias("y")), "id").select("symbol", "id", "w", "y")), symbols, p, c, rounds)
+
+
+def search_by_symbols(declarations: DataFrame, symbols: Sequence[str], limit: int = 50, weights: DataFrame | None = None) -> DataFrame:
+    """(id, relevance): the selected declarations that hold at least one symbol of every query symbol;
+    ``weights``: what :func:`weigh` gives for them, if it is written already."""
+    weights = cut(weigh(postings(declarations))) if weights is None else weights
+    groups = cut(resolve_query(symbols, weights.select("symbol").distinct()))
+    picked = select_weighted(weights, groups)
     n = len(dict.fromkeys(symbols))
-    full = index.join(groups, "symbol").groupBy("id").agg(F.count_distinct("input").alias("n")).filter(F.col("n") == n).select("id")
+    full = weights.join(F.broadcast(groups) if groups.count() <= BROADCAST_ROWS else groups, "symbol").groupBy("id").agg(F.count_distinct("input").alias("n")).filter(F.col("n") == n).select("id")
     return picked.join(full, "id", "left_semi").select("id", F.round("relevance", 6).alias("relevance")).orderBy(F.desc("relevance"), "id").limit(limit)
 
 
+def jaccard(index: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, jaccard) of the declarations of an inverted index that share a symbol with ``wanted`` (symbol)."""
+    n = wanted.count()
+    shared = _matching(index, wanted).groupBy("id").agg(F.count(F.lit(1)).alias("shared"))
+    sizes = index.groupBy("id").agg(F.count(F.lit(1)).alias("size"))
+    return shared.join(sizes, "id").select("id", F.round(F.col("shared") / (F.col("size") + n - F.col("shared")), 6).alias("jaccard"))
+
+
 def jaccard_ranking(declarations: DataFrame, symbols: Sequence[str], limit: int | None = 50) -> DataFrame:
     """(id, score): Jaccard similarity of each declaration's symbols with ``symbols``, of those that share any."""
     wanted = F.array(*map(F.lit, dict.fromkeys(symbols))) if symbols else F.array().cast("array<string>")

@@ -10,7 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from theoremill.functions.scores import difficulty, domain
-from theoremill.functions.texts import normalized_family, structured_state, tactic_family, tactic_keywords
+from theoremill.functions.texts import structured_state, tactic_family, tactic_keywords
+from theoremill.runtime import cut, lookup, tokens
 
 PROOF = ("project", "theorem")
 
@@ -47,14 +48,21 @@ def slowest(records: DataFrame, seconds: str, key: str, n: int = 20) -> DataFram
 
 
 def duplicates(steps: DataFrame) -> DataFrame:
-    """(project, theorem, cluster, size): proofs with the same first state and sequence of tactics; the
-    cluster is named by its smallest theorem. A proof's steps are gathered, never a cluster."""
-    text = F.regexp_replace(F.btrim(F.coalesce("tactic", F.lit(""))), r"\\s+", " ")
-    rows = steps.select(*PROOF, F.struct("step", F.coalesce("state", F.lit("")).alias("state"), text.alias("tactic")).alias("s"))
-    proofs = rows.groupBy(*PROOF).agg(F.array_sort(F.collect_list("s")).alias("s"))
-    keyed = proofs.select(*PROOF, F.md5(F.concat_ws("\x1f", F.element_at("s", 1).state, F.array_join(F.transform("s", lambda x: x.tactic), "\x1e"))).alias("key"))
+    """(project, theorem, cluster, size): proofs with the same first state and sequence of tactics, blanks
+    between words disregarded; the cluster is named by its smallest theorem.
+
+    A proof is known by its length and by sums of hashes of its tactics with their places, so neither a proof
+    nor a cluster is ever gathered; steps are numbered within a proof by ``step``. Null states and tactics
+    count as empty ones.
+    """
+    text = F.array_join(tokens(F.coalesce("tactic", F.lit(""))), " ")
+    rows = steps.select(*PROOF, "step", F.coalesce("state", F.lit("")).alias("state"), text.alias("tactic")).withColumn("place", F.row_number().over(W.partitionBy(*PROOF).orderBy("step", "state", "tactic")))
+    first = F.when(F.col("place") == 1, F.md5("state"))
+    total = lambda seed: F.sum(F.xxhash64(F.lit(seed), "place", "tactic").cast("decimal(20,0)"))
+    proofs = rows.groupBy(*PROOF).agg(F.count(F.lit(1)).alias("n"), F.max(first).alias("state"), total(1).alias("a"), total(2).alias("b"))
+    keyed = cut(proofs.select(*PROOF, F.md5(F.concat_ws(":", "n", "state", "a", "b")).alias("key")))
     clusters = keyed.groupBy("key").agg(F.min(F.concat_ws("/", *PROOF)).alias("cluster"), F.count(F.lit(1)).alias("size"))
-    return keyed.join(clusters, "key").drop("key")
+    return lookup(keyed, clusters, "key").select(*PROOF, "cluster", "size")
 
 
 def with_context(steps: DataFrame) -> DataFrame:

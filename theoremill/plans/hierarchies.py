@@ -34,7 +34,14 @@ def p2_tree(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_descendants(spark: SparkSession, sf: str) -> DataFrame:
-    return hierarchy(_edges(spark, sf), paths=True).descendants()
+    return hierarchy(_edges(spark, sf), intervals=True).descendants()
+
+
+def p2_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored form of paths: the pieces of chains from the root to each node."""
+    nodes = hierarchy(_edges(spark, sf), segments=True).nodes.filter("kind = 'tree'")
+    piece = F.transform("segments", lambda x: F.concat_ws(":", x["chain"].cast("string"), x["upto"].cast("string")))
+    return nodes.select(F.col("node").alias("node_id"), "chain", "pos", F.array_join(piece, "/").alias("segments"))
 
 
 def p2_cycles(spark: SparkSession, sf: str) -> DataFrame:
@@ -68,10 +75,30 @@ placed AS (
   FROM ends
 )"""
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_tree, p2_descendants, p2_cycles)}
+_PREORDER = f"""{_WALK},
+sizes AS (SELECT path[i] AS node, count(*) AS size FROM placed, unnest(generate_series(1, len(path))) AS t(i) WHERE depth >= 0 GROUP BY 1),
+sib AS (SELECT e.node, e.parent, size, row_number() OVER (PARTITION BY e.parent ORDER BY size DESC, e.node) AS rk FROM edges e JOIN sizes USING (node)),
+lights AS (
+  SELECT node, rk, first_value(size) OVER (PARTITION BY parent ORDER BY rk) AS heavy,
+    coalesce(sum(CASE WHEN rk > 1 THEN size END) OVER (PARTITION BY parent ORDER BY rk > 1, node ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS light
+  FROM sib
+),
+before AS (SELECT node, rk, CASE WHEN rk = 1 THEN 0 ELSE heavy + light END AS before FROM lights),
+steps AS (SELECT node_id, i, path[i] AS node FROM placed, unnest(generate_series(1, len(path))) AS t(i) WHERE depth >= 0),
+lo AS (SELECT node_id, sum(CASE WHEN b.node IS NULL THEN 0 ELSE 1 + before END) AS lo FROM steps LEFT JOIN before b USING (node) GROUP BY node_id),
+heads AS (SELECT node_id, i, node, sum(CASE WHEN rk = 1 THEN 0 ELSE 1 END) OVER (PARTITION BY node_id ORDER BY i DESC) AS piece FROM steps LEFT JOIN before USING (node)),
+pieces AS (SELECT node_id, piece, arg_max(node, i) AS chain, count(*) - 1 AS upto FROM heads GROUP BY node_id, piece)"""
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_tree, p2_descendants, p2_segments, p2_cycles)}
 
 ORACLES = {
     "p2_found": f"{_WALK} SELECT node_id, root_id, CAST(depth AS BIGINT) AS depth FROM placed",
+    "p2_tree": f"""{_PREORDER}
+SELECT p.node_id, e.parent AS parent_id, root_id, CAST(depth AS BIGINT) AS depth, CASE depth WHEN -1 THEN 'cycle' WHEN -2 THEN 'into_cycle' ELSE 'tree' END AS kind,
+  s.size - 1 AS descendants, CAST(lo AS BIGINT) AS lo, CAST(lo + s.size AS BIGINT) AS hi, CASE WHEN depth >= 0 THEN array_to_string(list_reverse(p.path), '/') END AS path
+FROM placed p LEFT JOIN edges e ON e.node = p.node_id LEFT JOIN sizes s ON s.node = p.node_id AND depth >= 0 LEFT JOIN lo ON lo.node_id = p.node_id""",
+    "p2_segments": f"""{_PREORDER}
+SELECT node_id, arg_max(chain, piece) AS chain, arg_max(upto, piece) AS pos, string_agg(chain || ':' || upto, '/' ORDER BY piece) AS segments FROM pieces GROUP BY node_id""",
     "p2_descendants": f"""{_WALK}
 SELECT path[i] AS ancestor, node_id AS descendant, CAST(i - 1 AS BIGINT) AS distance
 FROM placed, unnest(generate_series(2, len(path))) AS t(i) WHERE depth >= 0""",

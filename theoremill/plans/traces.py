@@ -37,6 +37,11 @@ def duplicate_proofs(spark: SparkSession, sf: str) -> DataFrame:
     return traces.duplicates(steps(spark, sf)).filter("size > 1")
 
 
+def duplicate_scripts(spark: SparkSession, sf: str) -> DataFrame:
+    """Proofs with the same sequence of tactics, whatever they start from."""
+    return traces.duplicates(steps(spark, sf).withColumn("state", F.lit(None).cast("string"))).filter("size > 1")
+
+
 def difficulty_buckets(spark: SparkSession, sf: str) -> DataFrame:
     return traces.benchmark(steps(spark, sf)).groupBy("difficulty", "domain").agg(F.count(F.lit(1)).alias("n"))
 
@@ -140,7 +145,7 @@ def imbalance(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        quality_report, tactic_vocabulary, duplicate_proofs, difficulty_buckets, training_steps, structured_states, first_premises, goal_heads, error_report,
+        quality_report, tactic_vocabulary, duplicate_proofs, duplicate_scripts, difficulty_buckets, training_steps, structured_states, first_premises, goal_heads, error_report,
         near_timeout, slowest20, tactic_families, collapsed_families, file_split, library_holdout, undersampled, oversampled, class_weights, confusion_matrix,
         precision_recall, loocv_stats, vocabulary, split_report, imbalance,
     )
@@ -171,7 +176,18 @@ m AS (SELECT family AS truth, predicted, count(*) AS n FROM x GROUP BY ALL)"""
 _Q = ", ".join(f"round(quantile_cont(steps, {q}), 6) AS {c}" for q, c in ((0.25, "p25"), (0.5, "median"), (0.75, "p75"), (0.95, "p95")))
 _DIST = f"count(steps) AS n, min(steps) AS least, max(steps) AS most, round(avg(steps), 6) AS mean, {_Q}"
 
+
+
+def _duplicates(state: str) -> str:
+    words = "array_to_string(list_filter(string_split_regex(coalesce(tactic, ''), '[ \\t\\r\\n]+'), lambda w: w <> ''), ' ')"
+    return f"""WITH {_S}, k AS (SELECT project, theorem, list({words} ORDER BY step) AS t, arg_min({state}, step) AS f FROM s GROUP BY ALL),
+c AS (SELECT t, f, min(concat_ws('/', project, theorem)) AS cluster, count(*) AS size FROM k GROUP BY ALL)
+SELECT project, theorem, cluster, size FROM k JOIN c USING (t, f) WHERE size > 1"""
+
+
 ORACLES = {
+    "duplicate_proofs": _duplicates("coalesce(state, '')"),
+    "duplicate_scripts": _duplicates("''"),
     "quality_report": f"WITH {_S}, l AS (SELECT project, theorem, count(*) AS steps FROM s GROUP BY ALL) SELECT project, {_DIST}, CAST(0 AS TINYINT) AS all FROM l GROUP BY project UNION ALL SELECT NULL, {_DIST}, CAST(1 AS TINYINT) FROM l".replace("AS all", 'AS "all"'),
     "tactic_vocabulary": f"WITH {_S} SELECT keyword, count(*) AS n FROM (SELECT lower(regexp_replace(coalesce(list_filter(string_split_regex(w, '[ \\t\\r\\n]+'), lambda v: v <> '')[1], ''), '[.,;]+$', '')) AS keyword FROM (SELECT unnest(string_split(tactic, ';')) AS w FROM s)) WHERE keyword <> '' GROUP BY keyword",
     "difficulty_buckets": f"WITH {_S}, l AS (SELECT project, theorem, count(*) AS steps FROM s GROUP BY ALL) SELECT CASE WHEN steps <= 5 THEN 'short' WHEN steps <= 20 THEN 'medium' ELSE 'long' END AS difficulty, CASE WHEN regexp_matches(lower(theorem), 'arith|nat') THEN 'arithmetic' WHEN regexp_matches(lower(theorem), 'algebra|ring|field') THEN 'algebra' WHEN regexp_matches(lower(theorem), 'logic|prop') THEN 'logic' ELSE 'other' END AS domain, count(*) AS n FROM l GROUP BY ALL",

@@ -133,13 +133,14 @@ def hot_keys(df: DataFrame, key: str, share: int = HOT_SHARE, total: int | None
     return [r[0] for r in counts.filter(F.col("_n") > max(total // share, 1)).select(key).limit(share).collect()]
 
 
-def lookup(left: DataFrame, right: DataFrame, key: str, how: str = "inner", total: int | None = None) -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, key: str, how: str = "inner", total: int | None = None, hot: list | None = None) -> DataFrame:
     """Join ``left`` to ``right``, which has ``key`` unique, without a hot key landing in one task.
 
     Hot keys of ``left`` are at most :data:`HOT_SHARE`, so their rows of ``right`` are a broadcast of
-    proven size; all others are joined by shuffle. ``total``: the rows of ``left``, if known.
+    proven size; all others are joined by shuffle. ``total``: the rows of ``left``, if known; ``hot``: its hot
+    keys, if known.
     """
-    hot = hot_keys(left, key, total=total)
+    hot = hot_keys(left, key, total=total) if hot is None else hot
     if not hot:
         return left.join(right, key, how)
     is_hot = F.col(key).isin(hot)
